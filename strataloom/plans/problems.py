@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import narrow, strip
-from strataloom.operators import history, timestamps, units
+from strataloom.operators import history, packed, timestamps, units
 from strataloom.sources.registry import profiles
 from strataloom.sources.tables import table
 
@@ -81,5 +81,25 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.col("row.text") != F.col("char_count").cast("string")).select("row.table_name", "row.record_key", "char_count").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
+PACKED = (("work_master", "work_key", "tags_raw"), ("external_bibliography", "external_key", "associated_names"), ("external_bibliography", "external_key", "authors"))
+
+
+def packed_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of the packed fields: row (table_name, record_key), field, item_no, item_value."""
+    parts = [
+        table(spark, folder, name, key, field).select(
+            F.struct(F.lit(name).alias("table_name"), F.col(key).alias("record_key")).alias("row"), F.lit(field).alias("field"), F.col(field).alias("text")
+        )
+        for name, key, field in PACKED
+    ]
+    return packed.split(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of a field that holds two or more."""
+    several = packed_items(spark, folder).where("item_count >= 2")
+    return several.select("row.table_name", "row.record_key", F.col("field").alias("field_name"), F.col("item_no").cast("int"), "item_value").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
