@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import mojibake
+from strataloom.llm import mojibake, survivorship
 from strataloom.sources.tables import table
 
 #: Texts that the dictionaries of problem 4 are fitted on, from each of the two columns.
@@ -27,5 +27,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.table_name", "row.record_key", F.col("field").alias("field_name"), "restored_text").distinct()
 
 
-QUERIES = {"p4_found": p4_found}
+DISPUTED = ("title", "author", "genre_raw", "declared_pub_year")
+COMPLETE = ("title", "author", "genre_raw", "status_raw", "word_count")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The best value of every disputed field of a work, and the preferred observation of works that have a fit one."""
+    sources = table(spark, folder, "source_registry", "source_id", "priority").dropDuplicates(["source_id"])
+    seen = table(spark, folder, "source_observation", "observation_id", "source_id", "work_key", "author_id", "observed_at", "word_count", "status_raw", "title", "author", "genre_raw", "declared_pub_year")
+    seen = seen.withColumn("declared_pub_year", F.col("declared_pub_year").cast("string")).join(sources, "source_id", "left").withColumn("at", F.try_to_timestamp("observed_at"))
+    asked = table(spark, folder, "metadata_conflict", "work_key", "field").dropna().distinct()
+    best = survivorship.survivors(seen, "work_key", DISPUTED, "at", "observation_id", "priority", {"author": "author_id"})
+    values = best.join(asked.select(F.col("work_key").alias("group"), "field"), ["group", "field"]).select(F.col("group").alias("work_key"), F.col("field").alias("field_name"), F.col("value").alias("surviving_value"))
+    preferred = survivorship.newest_trusted(seen, "work_key", "at", "observation_id", "priority", COMPLETE)
+    return values.unionByName(preferred.select("work_key", F.lit("preferred_observation_id").alias("field_name"), F.col("observation_id").alias("surviving_value")))
+
+
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found}
 ORACLES: dict[str, str] = {}
