@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strataloom.llm import mojibake, survivorship
+from strataloom.llm import linkage, mojibake, names, survivorship
 from strataloom.sources.tables import table
 
 #: Texts that the dictionaries of problem 4 are fitted on, from each of the two columns.
@@ -43,5 +45,39 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return values.unionByName(preferred.select("work_key", F.lit("preferred_observation_id").alias("field_name"), F.col("observation_id").alias("surviving_value")))
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found}
+#: Least confidence of a pair that p3_found returns.
+SAME = 0.5
+
+
+def linked_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """(record, work, confidence) of every candidate pair of external records and works."""
+    split = _pieces
+    external = table(spark, folder, "external_bibliography", "external_key", "title", "associated_names", "authors", "source_platform", "start_year_reported")
+    external = external.where("external_key is not null").dropDuplicates(["external_key"])
+    records = external.select(
+        F.col("external_key").alias("id"), F.concat(F.array("title"), split("associated_names")).alias("titles"), split("authors").alias("authors"),
+        F.col("source_platform").alias("platform"), F.array(F.col("start_year_reported").cast("int")).alias("years"),
+    )
+    seen = table(spark, folder, "source_observation", "work_key", "title", "author", "declared_pub_year").withColumnRenamed("declared_pub_year", "year").withColumn("platform", F.lit(None).cast("string"))
+    master = table(spark, folder, "work_master", "work_key", "title", "author", "platform_declared_pub_year", "platform").withColumnRenamed("platform_declared_pub_year", "year")
+    known = master.select("work_key").distinct()
+    every = master.unionByName(seen).where("work_key is not null").groupBy("work_key").agg(
+        F.sort_array(F.collect_set("title")).alias("titles"), F.sort_array(F.collect_set("author")).alias("authors"), F.max("platform").alias("platform"), F.sort_array(F.collect_set(F.col("year").cast("int"))).alias("years")
+    )
+    works = every.join(known, "work_key", "left_semi").withColumnRenamed("work_key", "id")
+    script = names.learn(spark, records.select(F.concat("titles", "authors").alias("names")))
+    return linkage.link(records, works, script)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of an external record and a work that describes the same thing."""
+    return linked_pairs(spark, folder).where(F.col("confidence") >= SAME).select(F.col("record").alias("external_key"), F.col("work").alias("work_key")).distinct()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pieces(texts: pd.Series) -> pd.Series:
+    return texts.map(names.pieces)
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found}
 ORACLES: dict[str, str] = {}
