@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm import linkage, mojibake, names, survivorship
+from strataloom.llm import linkage, mixing, mojibake, names, packing, subjects, survivorship, tokens
+from strataloom.session import checkpoint_dir
 from strataloom.sources.tables import table
 
 #: Texts that the dictionaries of problem 4 are fitted on, from each of the two columns.
@@ -65,6 +66,8 @@ def linked_pairs(spark: SparkSession, folder: str) -> DataFrame:
         F.sort_array(F.collect_set("title")).alias("titles"), F.sort_array(F.collect_set("author")).alias("authors"), F.max("platform").alias("platform"), F.sort_array(F.collect_set(F.col("year").cast("int"))).alias("years")
     )
     works = every.join(known, "work_key", "left_semi").withColumnRenamed("work_key", "id")
+    checkpoint_dir(spark)
+    records = records.checkpoint()
     script = names.learn(spark, records.select(F.concat("titles", "authors").alias("names")))
     return linkage.link(records, works, script)
 
@@ -79,5 +82,66 @@ def _pieces(texts: pd.Series) -> pd.Series:
     return texts.map(names.pieces)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found}
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every subject area that a good part of a document deals with."""
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    known = sorted(r.subject_code for r in table(spark, folder, "subject_area", "subject_code").dropna().distinct().collect())
+    model, weight, fold = subjects.train(documents, table(spark, folder, "document_label", "doc_id", "subject_code"), known)
+    return subjects.assign(documents, model, weight, fold).select("doc_id", "subject_code").distinct()
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by subject area; 0 for an area without any."""
+    counted = p10_found(spark, folder).groupBy("subject_code").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, folder, "subject_area", "subject_code").join(counted, "subject_code", "left").select("subject_code", F.coalesce("n", F.lit(0)).alias("documents"))
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in containers of each capacity: which, at which place, from which token, how many."""
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    fold = subjects.folding(spark)
+    weight = subjects.rarity(documents, "text", fold)
+    capacities = [tuple(r) for r in table(spark, folder, "pack_spec", "spec_id", "capacity_tokens").collect()]
+    checkpoint_dir(spark)
+    return packing.pack(tokens.with_tokens(documents, "text"), capacities, weight, fold)
+
+
+def p8_filling(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity: containers, items, tokens and the share of the containers' space that is used."""
+    each = p8_packed(spark, folder).groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    total = each.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("items"), F.sum("t").alias("tokens"))
+    spec = table(spark, folder, "pack_spec", "spec_id", "capacity_tokens").dropna().dropDuplicates(["spec_id"])
+    return total.join(spec, "spec_id").select("spec_id", "capacity_tokens", "containers", "items", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    checkpoint_dir(spark)
+    sized = tokens.with_tokens(table(spark, folder, "documents", "doc_id", "source", "text"), "text").select("doc_id", "source", "tokens").checkpoint()
+    targets = table(spark, folder, "mix_target", "source", "target_share", "max_repeats")
+    return sized, mixing.mix(sized, mixing.plan(sized, [tuple(r) for r in targets.collect()])), targets
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture with their sizes and repeats."""
+    return _mixture(spark, folder)[1]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source."""
+    sized, mixed, targets = _mixture(spark, folder)
+    return mixing.shares(sized, mixed, targets)
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p7_found": p7_found,
+    "p8_packed": p8_packed,
+    "p8_filling": p8_filling,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
+}
 ORACLES: dict[str, str] = {}
