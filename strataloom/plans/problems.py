@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import narrow, strip
@@ -10,7 +10,10 @@ from strataloom.operators import history, packed, timestamps, units
 from strataloom.sources.registry import profiles
 from strataloom.sources.tables import table
 
-CHAPTER_KEY = F.concat_ws(":", "platform", "work_id", "chapter_key")
+def chapter_key() -> Column:
+    """The record key of a chapter."""
+    return F.concat_ws(":", "platform", "work_id", "chapter_key")
+
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +23,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     )
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in ("publication_date", "update_date")])).alias("f")
     chapters = table(spark, folder, "chapters", "platform", "work_id", "chapter_key", "publication_date", "update_date", "source_kind").select(
-        F.lit("chapters").alias("table_name"), CHAPTER_KEY.alias("record_key"), fields, F.col("source_kind").alias("source_key")
+        F.lit("chapters").alias("table_name"), chapter_key().alias("record_key"), fields, F.col("source_kind").alias("source_key")
     ).select("table_name", "record_key", "f.field_name", "f.raw", "source_key")
     dates = table(spark, folder, "work_dates", "work_key", "catalog_pub_date").select(
         F.lit("work_dates").alias("table_name"), F.col("work_key").alias("record_key"), F.lit("catalog_pub_date").alias("field_name"), F.col("catalog_pub_date").alias("raw"), F.lit(None).cast("string").alias("source_key")
@@ -69,7 +72,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
             F.concat(F.lit("w:"), "work_key").alias("series"), F.unix_seconds(F.try_to_timestamp("observed_at")).alias("position"), F.lit(None).cast("string").alias("stated"),
         ),
         table(spark, folder, "chapters", "platform", "work_id", "chapter_key", "chapter_number", "word_count", "source_kind").select(
-            F.lit("chapters").alias("table_name"), CHAPTER_KEY.alias("record_key"), F.col("word_count").alias("text"), F.col("source_kind").alias("source"),
+            F.lit("chapters").alias("table_name"), chapter_key().alias("record_key"), F.col("word_count").alias("text"), F.col("source_kind").alias("source"),
             F.concat_ws(":", F.lit("c"), "platform", "work_id").alias("series"), F.col("chapter_number").try_cast("bigint").alias("position"), F.lit(None).cast("string").alias("stated"),
         ),
     ]
