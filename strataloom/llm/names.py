@@ -8,6 +8,7 @@ Chinese and English phrases. Both tables are bounded: by the number of character
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -114,10 +115,11 @@ def continuation(name: str) -> str:
 
 
 def pieces(field_text: str | None) -> list[str]:
-    """All values that a packed field may hold: its parts at every delimiter, and two neighbouring parts together."""
-    text = re.sub(r'\\u([0-9a-fA-F]{4})', lambda m: chr(int(m[1], 16)), field_text or "").strip()
-    parts = [re.sub(r"""^[\s\["'\\]+|[\s\]"'\\]+$""", "", p).replace('""', '"') for p in re.split(r"[,，、;；|｜/\n\t]", text)]
-    pairs = [a + " " + b for a, b in zip(parts, parts[1:], strict=False) if a and b]
+    """All values that a packed field may hold: its parts at every delimiter, and parts of one script with a comma between them together."""
+    text = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), field_text or "").strip()
+    found = re.split(r"([,，、;；|｜/\n\t])", text)
+    parts = [re.sub(r"""^[\s\["'\\]+|[\s\]"'\\]+$""", "", p).replace('""', '"') for p in found[::2]]
+    pairs = [f"{a}, {b}" for a, d, b in zip(parts, found[1::2], parts[1:], strict=False) if a and b and d in ",，" and bool(HAN.search(a)) == bool(HAN.search(b))]
     return [p for p in [*parts, *pairs] if p]
 
 
@@ -163,19 +165,30 @@ def learn(spark: SparkSession, records: DataFrame) -> Script:
     told = spark.sparkContext.broadcast(script)
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame([(*key, n) for key, n in tally.items()], columns=["kind", "z", "e", "n"])
+            tally.clear()
+            return out
+
         for batch in batches:
-            out = []
             for names in batch["names"]:
                 plain = [told.value.plain(n) for n in names]
                 two = {n[i : i + 2] for n in plain if HAN.search(n) for i in range(len(n) - 1) if HAN.match(n[i]) and HAN.match(n[i + 1])}
                 latin = [english(n) for n in plain if n and not HAN.search(n) and not told.value.spelled(re.sub("[^a-z ]", "", n.lower()))]
                 words = {" ".join(w[i : i + n]) for w in latin for n in (1, 2, 3) for i in range(len(w) - n + 1)}
                 if two and words:
-                    out += [("r", "", "")] + [("z", z, "") for z in two] + [("e", "", e) for e in words] + [("p", z, e) for z in two for e in words]
-            yield pd.DataFrame(out, columns=["kind", "z", "e"])
-
-    counts = records.mapInPandas(phrases, "kind string, z string, e string").groupBy("kind", "z", "e").count()
-    counts = counts.persist()
+                    tally["r", "", ""] += 1
+                    tally.update(("z", z, "") for z in two)
+                    tally.update(("e", "", e) for e in words)
+                    tally.update(("p", z, e) for z in two for e in words)
+            if len(tally) > 400_000:
+                yield rows()
+        yield rows()
+
+    counted = records.mapInPandas(phrases, "kind string, z string, e string, n long")
+    counts = counted.groupBy("kind", "z", "e").agg(F.sum("n").alias("count")).where(f"count >= {LEAST} or kind = 'r'").persist()
     total = counts.where("kind = 'r'").agg(F.sum("count")).first()[0] or 0
     floor = max(LEAST, int(total * LEAST_SHARE))
     z = counts.where(f"kind = 'z' and count >= {floor}").select("z", F.col("count").alias("nz"))
