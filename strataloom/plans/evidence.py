@@ -76,7 +76,7 @@ def m4_chapters_newest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 M4 = """WITH k AS (SELECT platform, work_id, chapter_key, max(observed_at) AS o, arg_max(is_vip, concat_ws('|', coalesce(observed_at,''), coalesce(chapter_title,''), coalesce(word_count,''), coalesce(publication_date,''), coalesce(update_date,''), coalesce(is_vip::VARCHAR,''), coalesce(source_kind,''))) AS v
- FROM chapters WHERE chapter_key IS NOT NULL GROUP BY 1, 2, 3) SELECT platform, work_id, count(*) AS chapters, max(o) AS observed_at, coalesce(count_if(v = 1), 0) AS vip FROM k GROUP BY 1, 2"""
+ FROM chapters WHERE chapter_key IS NOT NULL GROUP BY 1, 2, 3) SELECT platform, work_id, count(*) AS chapters, max(o) AS observed_at, coalesce(count(*) FILTER (WHERE v = 1), 0) AS vip FROM k GROUP BY 1, 2"""
 
 
 def m5_newest_wins(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,8 +195,8 @@ WHERE role IS NOT NULL AND n >= m * 0.6 AND coalesce(nullif(publication_date, ''
 D8 = f"""WITH c AS (SELECT platform || ':' || work_id AS work_key, CAST(chapter_number AS BIGINT) AS p, min(chapter_title) AS title FROM chapters WHERE TRY_CAST(chapter_number AS BIGINT) IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, coalesce(trim(regexp_replace(title, '[\\s\\x{{00a0}}\\x{{3000}}]+', ' ', 'g')), '') AS t, NOT regexp_matches(coalesce(title, '') || ' ', '{_AUX}') AS m FROM c),
 f AS (SELECT *, m AND coalesce({_ROLE} = 'main_story_end_marker_update', false) AS x, m AND coalesce({_ROLE} IN ('all_text_end_marker_update', 'ending_marker_update'), false) AS b FROM r),
-g AS (SELECT work_key, count(*) AS chapters, count_if(NOT m) AS auxiliary, min(p) AS first, max(p) AS last, min(p) FILTER (WHERE m) AS main_start, max(p) FILTER (WHERE m) AS ml,
- count_if(x) AS nx, max(p) FILTER (WHERE x) AS px, count_if(b) AS nb, max(p) FILTER (WHERE b) AS pb FROM f GROUP BY 1),
+g AS (SELECT work_key, count(*) AS chapters, count(*) FILTER (WHERE NOT m) AS auxiliary, min(p) AS first, max(p) AS last, min(p) FILTER (WHERE m) AS main_start, max(p) FILTER (WHERE m) AS ml,
+ count(*) FILTER (WHERE x) AS nx, max(p) FILTER (WHERE x) AS px, count(*) FILTER (WHERE b) AS nb, max(p) FILTER (WHERE b) AS pb FROM f GROUP BY 1),
 s AS (SELECT g.*, CASE WHEN nx > 0 THEN nx ELSE nb END AS k, coalesce(lower(trim(w.status_raw)) IN ('完本', '已完成', '完结', 'completed', 'finished'), false) AS done FROM g LEFT JOIN work_master w USING (work_key))
 SELECT work_key, chapters, auxiliary, first, last, main_start, CASE WHEN k = 1 THEN coalesce(CASE WHEN nx > 0 THEN px END, pb) WHEN k > 1 THEN NULL WHEN ml < last OR done THEN ml END AS main_end,
 CASE WHEN k = 1 AND nx > 0 THEN 'explicit_main_text_title' WHEN k = 1 THEN 'ending_title' WHEN k > 1 THEN 'ambiguous_ending_titles' WHEN ml < last THEN 'before_trailing_auxiliary_titles'

@@ -142,7 +142,7 @@ def a2(spark: SparkSession, folder: str) -> DataFrame:
     return coverage.collapsed(table(spark, folder, "metadata_conflict"), ["work_key", "field", "value_alternative"])
 
 
-@query("a03_conditional_sums", "SELECT platform, source_reported_year AS year, count(*) AS n, count_if(trim(title) <> '') AS titles, count_if(trim(author) <> '') AS authors FROM legacy_bibliography GROUP BY 1, 2")
+@query("a03_conditional_sums", "SELECT platform, source_reported_year AS year, count(*) AS n, count(*) FILTER (WHERE trim(title) <> '') AS titles, count(*) FILTER (WHERE trim(author) <> '') AS authors FROM legacy_bibliography GROUP BY 1, 2")
 def a3(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "legacy_bibliography", "platform", "source_reported_year", "title", "author")
     return rows.groupBy("platform", F.col("source_reported_year").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim("title") != "").alias("titles"), F.count_if(F.trim("author") != "").alias("authors"))
@@ -153,14 +153,14 @@ def a4(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "source_observation", "source_id", "work_key", "author_id", "observed_at").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("work_key").alias("works"), F.countDistinct("author_id").alias("authors"), F.max("observed_at").alias("latest"))
 
 
-@query("a05_wide_counts", "SELECT count(*) AS n, count(catalog_pub_date) AS catalog, count(first_chapter_publication_date) AS first_chapter, count_if(catalog_pub_date IS NOT NULL OR first_chapter_publication_date IS NOT NULL) AS any_date, sum(chapter_time_conflict)::BIGINT AS conflicts FROM work_dates")
+@query("a05_wide_counts", "SELECT count(*) AS n, count(catalog_pub_date) AS catalog, count(first_chapter_publication_date) AS first_chapter, count(*) FILTER (WHERE catalog_pub_date IS NOT NULL OR first_chapter_publication_date IS NOT NULL) AS any_date, sum(chapter_time_conflict)::BIGINT AS conflicts FROM work_dates")
 def a5(spark: SparkSession, folder: str) -> DataFrame:
     a, b = F.col("catalog_pub_date"), F.col("first_chapter_publication_date")
     return table(spark, folder, "work_dates").agg(F.count(F.lit(1)).alias("n"), F.count(a).alias("catalog"), F.count(b).alias("first_chapter"), F.count_if(a.isNotNull() | b.isNotNull()).alias("any_date"), F.sum("chapter_time_conflict").alias("conflicts"))
 
 
-@query("a07_progress_matrix", f"""WITH {LOG}, j AS (SELECT work_key, source_id, count(*) AS tries, count_if(trim(coalesce(status_raw, '')) <> '') AS good, max(observed_at) AS latest FROM log GROUP BY 1, 2)
-SELECT source_id, count(*) AS jobs, count_if(good > 0) AS succeeded, count_if(good = 0) AS waiting, count_if(good = 0 AND tries > 1) AS retried, count_if(latest IS NULL) AS undated, min(latest) FILTER (WHERE good > 0) AS oldest FROM j GROUP BY 1""")
+@query("a07_progress_matrix", f"""WITH {LOG}, j AS (SELECT work_key, source_id, count(*) AS tries, count(*) FILTER (WHERE trim(coalesce(status_raw, '')) <> '') AS good, max(observed_at) AS latest FROM log GROUP BY 1, 2)
+SELECT source_id, count(*) AS jobs, count(*) FILTER (WHERE good > 0) AS succeeded, count(*) FILTER (WHERE good = 0) AS waiting, count(*) FILTER (WHERE good = 0 AND tries > 1) AS retried, count(*) FILTER (WHERE latest IS NULL) AS undated, min(latest) FILTER (WHERE good > 0) AS oldest FROM j GROUP BY 1""")
 def a7(spark: SparkSession, folder: str) -> DataFrame:
     jobs = log(spark, folder).groupBy("work_key", "source_id").agg(F.count(F.lit(1)).alias("tries"), F.count_if(F.trim("status_raw") != "").alias("good"), F.max("observed_at").alias("latest"))
     good = F.col("good") > 0
@@ -186,7 +186,7 @@ def a11(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("work_key", F.size("t").alias("n"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
 
 
-@query("a12_outcome_pivot", "SELECT source_id, count_if(date_type = 'catalog_publication') AS catalog_publication, count_if(date_type = 'last_update') AS last_update FROM source_observation GROUP BY 1")
+@query("a12_outcome_pivot", "SELECT source_id, count(*) FILTER (WHERE date_type = 'catalog_publication') AS catalog_publication, count(*) FILTER (WHERE date_type = 'last_update') AS last_update FROM source_observation GROUP BY 1")
 def a12(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "source_observation", "source_id", "date_type").groupBy("source_id").pivot("date_type", ["catalog_publication", "last_update"]).count().fillna(0)
 
@@ -203,7 +203,7 @@ def a16(spark: SparkSession, folder: str) -> DataFrame:
     return coverage.difference_of_counts(table(spark, folder, "work_master", "platform"), table(spark, folder, "works", "platform"), "platform")
 
 
-@query("a17_latest_unresolved", f"WITH {LOG}, l AS (SELECT work_key, first(status_raw ORDER BY observed_at DESC, seq DESC) AS s FROM log WHERE observed_at IS NOT NULL GROUP BY 1) SELECT count(*) AS works, count_if(s IS NULL OR trim(s) IN ('', '未知', '--')) AS unresolved FROM l")
+@query("a17_latest_unresolved", f"WITH {LOG}, l AS (SELECT work_key, first(status_raw ORDER BY observed_at DESC, seq DESC) AS s FROM log WHERE observed_at IS NOT NULL GROUP BY 1) SELECT count(*) AS works, count(*) FILTER (WHERE s IS NULL OR trim(s) IN ('', '未知', '--')) AS unresolved FROM l")
 def a17(spark: SparkSession, folder: str) -> DataFrame:
     last = events.latest_state(log(spark, folder).where("observed_at is not null").withColumn("o", F.struct("observed_at", "seq")), "work_key", "o", ["status_raw"])
     return last.agg(F.count(F.lit(1)).alias("works"), F.count_if(F.col("status_raw").isNull() | F.trim("status_raw").isin("", "未知", "--")).alias("unresolved"))
@@ -216,7 +216,7 @@ def w1(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("w08_streaks", """WITH e AS (SELECT user_id, event_id, event_type = 'error' AS b FROM events), g AS (SELECT *, sum(CASE WHEN b THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM e),
-r AS (SELECT user_id, g, count_if(b) AS n FROM g GROUP BY 1, 2) SELECT user_id, max(n)::BIGINT AS longest, arg_max(n, g)::BIGINT AS current FROM r GROUP BY 1""")
+r AS (SELECT user_id, g, count(*) FILTER (WHERE b) AS n FROM g GROUP BY 1, 2) SELECT user_id, max(n)::BIGINT AS longest, arg_max(n, g)::BIGINT AS current FROM r GROUP BY 1""")
 def w8(spark: SparkSession, folder: str) -> DataFrame:
     return events.streaks(table(spark, folder, "events", "user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "error")
 
@@ -261,7 +261,7 @@ def o14(spark: SparkSession, folder: str) -> DataFrame:
     return order.first_distinct(rows, "status_raw", "n", 22)
 
 
-@query("o11_slots", "SELECT platform, least(20, greatest(1, ceil(count_if(first_chapter_publication_date IS NULL) / greatest(1, count_if(catalog_pub_date IS NULL))::DOUBLE)))::INTEGER AS slots FROM (SELECT split_part(work_key, ':', 1) AS platform, * FROM work_dates) GROUP BY 1")
+@query("o11_slots", "SELECT platform, least(20, greatest(1, ceil(count(*) FILTER (WHERE first_chapter_publication_date IS NULL) / greatest(1, count(*) FILTER (WHERE catalog_pub_date IS NULL))::DOUBLE)))::INTEGER AS slots FROM (SELECT split_part(work_key, ':', 1) AS platform, * FROM work_dates) GROUP BY 1")
 def o11(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "work_dates", "work_key", "catalog_pub_date", "first_chapter_publication_date").withColumn("platform", F.split_part("work_key", F.lit(":"), F.lit(1)))
     return rows.groupBy("platform").agg(F.count_if(F.col("first_chapter_publication_date").isNull()).alias("a"), F.count_if(F.col("catalog_pub_date").isNull()).alias("b")).select("platform", order.slots(F.col("a"), F.col("b")).alias("slots"))
@@ -302,8 +302,8 @@ def q2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("q03_rule_gate", """WITH c AS (SELECT count_if(first_pub_year_verified IS NOT NULL) = 0 AS passed FROM work_master UNION ALL SELECT count(*) = count(DISTINCT work_key) FROM work_dates UNION ALL SELECT count_if(source_reported_year NOT BETWEEN 1990 AND 2026) = 0 FROM legacy_bibliography)
-SELECT bool_and(passed) AS passed, count_if(NOT passed) AS failed FROM c""")
+@query("q03_rule_gate", """WITH c AS (SELECT count(*) FILTER (WHERE first_pub_year_verified IS NOT NULL) = 0 AS passed FROM work_master UNION ALL SELECT count(*) = count(DISTINCT work_key) FROM work_dates UNION ALL SELECT count(*) FILTER (WHERE source_reported_year NOT BETWEEN 1990 AND 2026) = 0 FROM legacy_bibliography)
+SELECT bool_and(passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed FROM c""")
 def q3(spark: SparkSession, folder: str) -> DataFrame:
     works, days, legacy = table(spark, folder, "work_master", "first_pub_year_verified"), table(spark, folder, "work_dates", "work_key"), table(spark, folder, "legacy_bibliography", "source_reported_year")
     year = F.col("source_reported_year")
@@ -328,12 +328,12 @@ def q10(spark: SparkSession, folder: str) -> DataFrame:
 _PROFILED = ("platform", "status", "genre", "last_seen_at")
 
 
-@query("q13_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count_if(trim({c}) <> '') AS filled, count(DISTINCT {c}) AS \"distinct\", min({c}) AS least, max({c}) AS greatest FROM works" for c in _PROFILED))
+@query("q13_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE trim({c}) <> '') AS filled, count(DISTINCT {c}) AS \"distinct\", min({c}) AS least, max({c}) AS greatest FROM works" for c in _PROFILED))
 def q13(spark: SparkSession, folder: str) -> DataFrame:
     return audit.profile(table(spark, folder, "works"), _PROFILED)
 
 
-@query("t09_episodes", """WITH r AS (SELECT user_id, coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), 0) AS b FROM events GROUP BY 1) SELECT e.user_id, count_if(e.event_type = 'error' AND e.event_id > r.b) AS failures FROM events e JOIN r USING (user_id) GROUP BY 1""")
+@query("t09_episodes", """WITH r AS (SELECT user_id, coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), 0) AS b FROM events GROUP BY 1) SELECT e.user_id, count(*) FILTER (WHERE e.event_type = 'error' AND e.event_id > r.b) AS failures FROM events e JOIN r USING (user_id) GROUP BY 1""")
 def t9(spark: SparkSession, folder: str) -> DataFrame:
     return events.episode(table(spark, folder, "events", "user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase")
 

@@ -102,7 +102,7 @@ def p4(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "work_master", "work_key", "work_url").select("work_key", scalars.id_from_path(F.col("work_url"), "books.example", "/book/([0-9]+)/?").alias("id"))
 
 
-@query("pj05_url_agreement", "SELECT count(*) AS n, count_if(coalesce(regexp_extract(work_url, '/book/([0-9]+)', 1) = platform_work_id, false)) AS agree FROM work_master")
+@query("pj05_url_agreement", "SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(regexp_extract(work_url, '/book/([0-9]+)', 1) = platform_work_id, false)) AS agree FROM work_master")
 def p5(spark: SparkSession, folder: str) -> DataFrame:
     same = scalars.id_from_path(F.col("work_url"), "books.example", "/book/([0-9]+)/?") == F.col("platform_work_id")
     return table(spark, folder, "work_master", "work_url", "platform_work_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(same, F.lit(False))).alias("agree"))
@@ -233,7 +233,7 @@ def f21(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events", "ts").groupBy(dates.iso_week(F.col("ts")).alias("week")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f22_backoff", "WITH f AS (SELECT user_id, count_if(event_type = 'error') AS c FROM events GROUP BY 1) SELECT user_id, CASE WHEN c >= 5 THEN greatest(least(86400.0, 30 * pow(2.0, least(c - 1, 12))), 3600.0) ELSE least(86400.0, 30 * pow(2.0, least(c - 1, 12))) END::DOUBLE AS seconds FROM f")
+@query("f22_backoff", "WITH f AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS c FROM events GROUP BY 1) SELECT user_id, CASE WHEN c >= 5 THEN greatest(least(86400.0, 30 * pow(2.0, least(c - 1, 12))), 3600.0) ELSE least(86400.0, 30 * pow(2.0, least(c - 1, 12))) END::DOUBLE AS seconds FROM f")
 def f22(spark: SparkSession, folder: str) -> DataFrame:
     count = table(spark, folder, "events", "user_id", "event_type").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("c"))
     return count.select("user_id", scalars.backoff_seconds(F.col("c"), F.lit(None)).alias("seconds"))
