@@ -193,7 +193,7 @@ def backoff_seconds(failures: Column, server_delay: Column) -> Column:
 def retry_after_seconds(header: Column, now: Column) -> Column:
     """Seconds from a header that holds seconds or an HTTP date; not below 0, null if neither."""
     moment = F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(F.when(digits_only(F.trim(header)), F.trim(header).cast("bigint")), F.greatest(F.lit(0), F.unix_seconds(moment) - F.unix_seconds(now)))
+    return F.coalesce(F.when(digits_only(F.trim(header)), F.trim(header).cast("bigint")), F.when(moment.isNotNull(), F.greatest(F.lit(0), F.unix_seconds(moment) - F.unix_seconds(now))))
 
 
 def refresh_days(is_list: Column, status: Column) -> Column:

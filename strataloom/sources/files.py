@@ -22,6 +22,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8", schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header, all columns text, quoted fields over several lines, fields of any length. Empty fields are null."""
+    if encoding.upper() not in ("UTF-8", "UTF-16", "ISO-8859-1", "US-ASCII"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark knows the standard character sets only
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     return (reader.schema(schema) if schema else reader).csv(path)
 
