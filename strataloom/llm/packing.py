@@ -13,6 +13,7 @@ them. The unused space that this costs is at most one open container a shard.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -122,21 +123,20 @@ def pack(documents: DataFrame, capacities: list[tuple[int, int]], weight: np.nda
     spark = documents.sparkSession
     tools = spark.sparkContext.broadcast((weight, fold))
 
-    @F.pandas_udf(T.StructType([T.StructField("term", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]))
-    def describe(texts: pd.Series) -> pd.DataFrame:
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, folding = tools.value
-        out = []
-        for i in range(0, len(texts), 200):
-            piece = list(texts.iloc[i : i + 200])
-            document, term, count = bag(piece, folding)
-            cut = np.searchsorted(document, np.arange(len(piece) + 1))
-            for d in range(len(piece)):
-                t, c = term[cut[d] : cut[d + 1]], count[cut[d] : cut[d + 1]]
-                lead = int(t[np.argmax(np.sqrt(c) * w[t])]) if len(t) else -1
-                out.append((lead, t.astype(np.int32), c.astype(np.int32)))
-        return pd.DataFrame(out, columns=["term", "terms", "counts"])
-
-    sized = documents.where("tokens > 0").select("doc_id", "tokens", describe("text").alias("d")).select("doc_id", "tokens", "d.*").checkpoint()
+        for batch in batches:
+            for i in range(0, len(batch), 200):
+                piece = batch.iloc[i : i + 200]
+                document, term, count = bag(list(piece["text"]), folding)
+                cut = np.searchsorted(document, np.arange(len(piece) + 1))
+                terms = [term[a:b].astype(np.int32) for a, b in zip(cut, cut[1:], strict=False)]
+                counts = [count[a:b].astype(np.int32) for a, b in zip(cut, cut[1:], strict=False)]
+                lead = [int(t[np.argmax(np.sqrt(c) * w[t])]) if len(t) else -1 for t, c in zip(terms, counts, strict=True)]
+                yield pd.DataFrame({"doc_id": piece["doc_id"].to_numpy(), "tokens": piece["tokens"].to_numpy(), "term": lead, "terms": terms, "counts": counts})
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    sized = documents.where("tokens > 0").select("doc_id", "tokens", "text").mapInPandas(describe, f"doc_id {kind}, tokens long, term int, terms array<int>, counts array<int>").checkpoint()
     places = spark.sparkContext.broadcast(_shards(sized))
 
     @F.pandas_udf(T.IntegerType())
@@ -145,7 +145,6 @@ def pack(documents: DataFrame, capacities: list[tuple[int, int]], weight: np.nda
         return pd.Series([at[t][0] + s % at[t][1] for t, s in zip(terms, salt, strict=True)])
 
     specs = sorted((int(s), int(c)) for s, c in capacities if s is not None and c is not None and c >= 1)
-    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "tokens"]).reset_index(drop=True)
