@@ -235,7 +235,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple
                     yield function(unpack(row), tuple(shared.value))
 
         found = parts.mapInPandas(work, schema).collect()
-        shared.unpersist()
+        shared.destroy()
         return found
 
     def slope(data: tuple, model: tuple) -> pd.DataFrame:
