@@ -25,7 +25,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     )
     examples = mojibake.sampled(titles, "text", DICTIONARY_SAMPLE)
     examples += [value for raw in mojibake.sampled(records, "text", DICTIONARY_SAMPLE) for _, value in mojibake.json_texts(raw)]
-    model = mojibake.fit(examples)
+    model = mojibake.fit(examples, names.base_script(spark).simple)
     found = mojibake.restore(titles, model, json_column=False).unionByName(mojibake.restore(records, model, json_column=True))
     return found.select("row.table_name", "row.record_key", F.col("field").alias("field_name"), "restored_text").distinct()
 
