@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.text import narrow, strip
 from strataloom.operators import history, packed, timestamps, units
+from strataloom.plans import problem_sql
 from strataloom.sources.registry import profiles
 from strataloom.sources.tables import table
 
@@ -105,12 +106,4 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
-#: Full-width signs to narrow ones, blanks off the ends, lower case: what the status cleaning does, in SQL.
-_BARE = r"""trim(regexp_replace(regexp_replace(lower(regexp_replace(translate(status_raw, '０１２３４５６７８９．，：／－＋　', '0123456789.,:/-+ '), '^[\s\x{00a0}\x{3000}]+|[\s\x{00a0}\x{3000}]+$', '', 'g')), '^(状态|status) *: *', ''), '[\[\]【】()（）《》「」]', '', 'g'))"""
-P5 = f"""WITH s AS (SELECT DISTINCT work_key, observed_at, {_BARE} AS t FROM source_observation WHERE work_key IS NOT NULL AND trim(observed_at) <> ''),
-o AS (SELECT DISTINCT s.work_key, s.observed_at, v.status_code FROM s JOIN status_vocab v ON s.t = lower(trim(v.status_text))),
-m AS (SELECT *, status_code IS DISTINCT FROM lag(status_code) OVER w AS fresh FROM o WINDOW w AS (PARTITION BY work_key ORDER BY observed_at, status_code)),
-r AS (SELECT work_key, status_code, observed_at AS valid_from, lead(observed_at) OVER (PARTITION BY work_key ORDER BY observed_at, status_code) AS following FROM m WHERE fresh),
-l AS (SELECT platform || ':' || work_id AS work_key, max(last_seen_at) AS seen FROM works GROUP BY 1)
-SELECT r.work_key, r.status_code, r.valid_from, coalesce(r.following, l.seen, '') AS valid_to FROM r LEFT JOIN l USING (work_key)"""
-ORACLES: dict[str, str] = {"p5_found": P5}
+ORACLES = {"p1_found": problem_sql.P1, "p5_found": problem_sql.P5, "p6_found": problem_sql.P6}
