@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm import linkage, mixing, mojibake, names, packing, subjects, survivorship, tokens
+from strataloom.llm import linkage, mixing, mojibake, names, packing, problem_sql, subjects, survivorship, tokens
 from strataloom.session import checkpoint_dir
 from strataloom.sources.tables import table
 
@@ -144,4 +144,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_composition": p10_composition,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"p7_found": problem_sql.P7}

@@ -26,3 +26,10 @@ def test_query(spark, small, name):
 def test_pairs_are_one_to_one_for_records(spark, small):
     pairs = Q.p3_found(spark, small).cache()
     assert pairs.count() == pairs.select("external_key").distinct().count()
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_agrees_with_sql(spark, small, name):
+    import oracle
+
+    assert oracle.compare(spark, Q.QUERIES[name], Q.ORACLES[name], small) == ""
