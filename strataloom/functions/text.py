@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Full-width forms and the ASCII characters they stand for.
@@ -25,3 +25,8 @@ def strip(text: Column) -> Column:
 def squeeze(text: Column) -> Column:
     """Inner runs of blanks as one space, none at the ends; empty becomes null."""
     return F.nullif(F.trim(F.regexp_replace(text, f"{BLANK}+", " ")), F.lit(""))
+
+
+def keep_filled(frame: DataFrame, column: str) -> DataFrame:
+    """Rows whose column is not null. A filter would be pushed below the column and compute it twice; a generator isn't."""
+    return frame.withColumn(column, F.explode(F.array_compact(F.array(column))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import narrow, strip
+from strataloom.functions.text import keep_filled, narrow, strip
 from strataloom.operators import history, packed, timestamps, units
 from strataloom.plans import problem_sql
 from strataloom.sources.registry import profiles
@@ -34,7 +34,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
         "zone", F.when(F.col("table_name") == "work_dates", F.lit("Asia/Shanghai")).otherwise(F.col("local_zone"))
     )
     found = timestamps.normalise(known, "raw", "zone", "month_first")
-    return found.where("normal_time is not null").select("table_name", "record_key", "field_name", "normal_time").distinct()
+    return keep_filled(found, "normal_time").select("table_name", "record_key", "field_name", "normal_time").distinct()
 
 
 def status_codes(spark: SparkSession, folder: str, frame: DataFrame, column: str) -> DataFrame:
