@@ -53,9 +53,7 @@ def with_stubs(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
 
 def spine(first: int, last: int, groups: DataFrame, facts: DataFrame, on: str, group: str, fill: str) -> DataFrame:
     """Every group crossed with every number from first to last, with the facts where there are any, else 0."""
-    numbers = groups.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias(on))
-    # The numbers are bounded by the arguments, the groups are their distinct values.
-    grid = groups.select(group).distinct().join(F.broadcast(numbers), how="cross")
+    grid = groups.select(group).distinct().withColumn(on, F.explode(F.sequence(F.lit(first), F.lit(last))))
     return grid.join(facts, [group, on], "left").withColumn(fill, F.coalesce(fill, F.lit(0)))
 
 

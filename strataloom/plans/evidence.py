@@ -130,7 +130,8 @@ def m10_replay(spark: SparkSession, folder: str) -> DataFrame:
     rows = log(spark, folder).select("observation_id", "work_key", "title", "seq")
     known, content = rows.where("seq % 3 <> 0"), ("work_key", "title")
     added, contradicting = M.replay(known, rows, "observation_id", content)
-    return added.agg(F.count(F.lit(1)).alias("added")).crossJoin(contradicting.agg(F.count(F.lit(1)).alias("contradicting")))
+    both = added.select(F.lit(1).alias("a"), F.lit(0).alias("c")).unionByName(contradicting.select(F.lit(0).alias("a"), F.lit(1).alias("c")))
+    return both.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("added"), F.coalesce(F.sum("c"), F.lit(0)).alias("contradicting"))
 
 
 M10 = f"WITH {LOG} SELECT count(DISTINCT observation_id) FILTER (WHERE seq % 3 = 0) AS added, 0 AS contradicting FROM log"

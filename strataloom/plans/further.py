@@ -196,7 +196,8 @@ def u2(spark: SparkSession, folder: str) -> DataFrame:
 @query("u05_containment", "SELECT (SELECT count(*) FROM (SELECT work_key FROM work_dates EXCEPT SELECT work_key FROM work_master)) AS unknown, (SELECT count(*) FROM (SELECT work_key FROM work_master EXCEPT SELECT work_key FROM work_dates)) AS undated")
 def u5(spark: SparkSession, folder: str) -> DataFrame:
     works, days = table(spark, folder, "work_master", "work_key"), table(spark, folder, "work_dates", "work_key")
-    return audit.lost_rows(days, works).agg(F.count(F.lit(1)).alias("unknown")).crossJoin(audit.lost_rows(works, days).agg(F.count(F.lit(1)).alias("undated")))
+    both = audit.lost_rows(days, works).select(F.lit(1).alias("u"), F.lit(0).alias("d")).unionByName(audit.lost_rows(works, days).select(F.lit(0).alias("u"), F.lit(1).alias("d")))
+    return both.agg(F.coalesce(F.sum("u"), F.lit(0)).alias("unknown"), F.coalesce(F.sum("d"), F.lit(0)).alias("undated"))
 
 
 @query("q09_page_validity", f"WITH {LOG}, p AS (SELECT source_id, seq // 50 AS page, count(*) AS n, count(DISTINCT observation_id) AS ids, count(*) FILTER (WHERE trim(title) <> '') AS titled FROM log GROUP BY 1, 2) SELECT source_id, page, n = ids AND titled = n AS valid FROM p")
