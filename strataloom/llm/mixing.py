@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bits of the hash that one histogram resolves, and bits in all.
@@ -103,7 +103,6 @@ def shares(sized: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """For every target: its share, the tokens it has, the tokens it gives and the share it reaches; 0 where it has no documents."""
     had = sized.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     gave = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
-    total = gave.agg(F.sum("mixed_tokens").alias("total"))
-    joined = targets.join(had, "source", "left").join(gave, "source", "left").crossJoin(total)
+    joined = targets.join(had, "source", "left").join(gave, "source", "left").withColumn("total", F.sum("mixed_tokens").over(Window.partitionBy()))  # one row a target
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return joined.select("source", "target_share", *[zero(c) for c in ("available_tokens", "mixed_tokens", "documents", "most_repeats")], F.coalesce(F.col("mixed_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"))
