@@ -11,7 +11,7 @@ from strataloom.llm import linkage, mixing, mojibake, names, packing, problem_sq
 from strataloom.session import checkpoint_dir
 from strataloom.sources.tables import table
 
-#: Texts that the dictionaries of problem 4 are fitted on, from each of the two columns.
+#: Texts that the dictionaries of problem 4 are trained on, of each language group; prices and alphabet come from all texts.
 DICTIONARY_SAMPLE = 12000
 
 
@@ -23,9 +23,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "source_observation", "observation_id", "raw_record_json").select(
         F.struct(F.lit("source_observation").alias("table_name"), F.col("observation_id").alias("record_key")).alias("row"), F.lit("").alias("field"), F.col("raw_record_json").alias("text")
     )
-    examples = mojibake.sampled(titles, "text", DICTIONARY_SAMPLE)
-    examples += [value for raw in mojibake.sampled(records, "text", DICTIONARY_SAMPLE) for _, value in mojibake.json_texts(raw)]
-    model = mojibake.fit(examples, names.base_script(spark).simple)
+    texts = mojibake.texts_of(titles, "text", json_column=False).unionByName(mojibake.texts_of(records, "text", json_column=True))
+    model = mojibake.fit_all(texts, DICTIONARY_SAMPLE, names.base_script(spark).simple)
     found = mojibake.restore(titles, model, json_column=False).unionByName(mojibake.restore(records, model, json_column=True))
     return found.select("row.table_name", "row.record_key", F.col("field").alias("field_name"), "restored_text").distinct()
 
