@@ -236,6 +236,12 @@ def t15(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events", "event_id", "event_type", "user_id", "props").where("event_type = 'error' and user_id % 10 = 3 and props like '%1%'").select("event_id")
 
 
+@query("t15_requeued_whole")
+def t15_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The failed jobs to be queued again, by kind and message, of every user."""
+    return table(spark, folder, "events", "event_id", "event_type", "props").where("event_type = 'error' and props like '%1%'").select("event_id")
+
+
 @query("x02_group_statistics", "SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS sd FROM documents GROUP BY 1")
 def x2(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "source", "n_chars").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("sd"))

@@ -217,6 +217,12 @@ def f17(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("work_key", scalars.canonical_json(title=F.col("title"), author=F.col("author")).alias("j"))
 
 
+@query("f17_canonical_json_whole")
+def f17_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The canonical JSON of every work, with those whose names need escaping."""
+    return table(spark, folder, "work_master", "work_key", "title", "author").select("work_key", scalars.canonical_json(title=F.col("title"), author=F.col("author")).alias("j"))
+
+
 @query("f19_identity", "SELECT observation_id, sha256(source_id || chr(31) || row_locator) AS id FROM source_observation WHERE source_id IS NOT NULL AND row_locator IS NOT NULL")
 def f19(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "source_observation", "observation_id", "source_id", "row_locator").dropna().select("observation_id", scalars.identity(F.col("source_id"), F.col("row_locator")).alias("id"))

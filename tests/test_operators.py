@@ -149,3 +149,17 @@ def test_snapshots_are_read_whole(spark, tmp_path):
 def test_split_composite(spark):
     row = spark.createDataFrame([("a-b-c",), ("a-b-c-d-e",)], "g string").select(*scalars.split_composite(F.col("g"), ["w", "x", "y", "z"])).collect()
     assert [tuple(r) for r in row] == [("a", "b", "c", None), (None,) * 4]
+
+
+def test_whole_tables_where_the_sql_has_a_part(spark, tmp_path):
+    import json
+
+    from strataloom.plans import further, shaping
+
+    works = [("a", 'Say "N/A"', "x\\y"), ("b", None, "plain"), ("c", "t/u", None)]
+    spark.createDataFrame(works, "work_key string, title string, author string").write.parquet(f"{tmp_path}/work_master.parquet")
+    found = {r.work_key: json.loads(r.j) for r in shaping.QUERIES["f17_canonical_json_whole"](spark, str(tmp_path)).collect()}
+    assert found == {k: {"author": author, "title": title} for k, title, author in works}
+    events = [(1, "error", 3, "1"), (2, "error", 4, "x1"), (3, "error", 5, "x"), (4, "view", 3, "1")]
+    spark.createDataFrame(events, "event_id long, event_type string, user_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id for r in further.QUERIES["t15_requeued_whole"](spark, str(tmp_path)).collect()} == {1, 2}
