@@ -126,14 +126,15 @@ def normalise(frame: DataFrame, text: str, zone: str, month_first: str, out: str
 
     ``zone`` and ``month_first`` name columns with the source's zone and its order of day and month (null: unknown; a
     time without any zone is then null). The session's time zone must be UTC. Other columns pass through unchanged; an
-    existing column ``out`` is replaced. Null, empty and very long texts that are no time give null.
+    existing column ``out`` is replaced. Null, empty and long texts that are no time give null; padding of any length is
+    stripped first.
     """
     if frame.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
         raise ValueError("spark.sql.session.timeZone must be UTC")
-    clean = F.lower(strip(narrow(F.substring(F.col(text), 1, 200))))
+    clean = F.lower(strip(narrow(F.col(text))))
     bare = F.regexp_replace(clean, rf"^{LABELS}(?=[0-9a-z北])", "")
     value = _let(
-        F.when(F.length(text) <= 200, bare),
+        bare,
         lambda t: _let(_fields(F.regexp_replace(t, f"^{BEIJING}", "")), lambda f: _resolve(f, t.startswith("北京时间"), F.col(zone), F.col(month_first))),
     )
     return frame.withColumn(out, value)

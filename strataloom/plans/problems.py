@@ -50,14 +50,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     states = seen.where("work_key is not null and status_code is not null and trim(observed_at) != ''").select(
         "work_key", "status_code", F.struct(F.try_to_timestamp("observed_at").alias("t"), F.col("observed_at").alias("s")).alias("at")
     )
-    runs = history.versions(states.where("at.t is not null"), "work_key", "status_code", "at", F.to_date("t.t"))
     works = table(spark, folder, "works", "platform", "work_id", "last_seen_at").select(
-        F.concat_ws(":", "platform", "work_id").alias("work_key"), F.struct(F.try_to_timestamp("last_seen_at").alias("t"), F.col("last_seen_at").alias("s")).alias("seen")
-    )
-    last = works.where("seen.t is not null").groupBy("work_key").agg(F.max("seen").alias("seen"))
-    return runs.join(last, "work_key", "left").select(
-        "work_key", "status_code", F.col("valid_from.s").alias("valid_from"), F.coalesce("valid_to.s", "seen.s", F.lit("")).alias("valid_to")
+        F.concat_ws(":", "platform", "work_id").alias("work_key"), F.struct(F.try_to_timestamp("last_seen_at").alias("t"), F.col("last_seen_at").alias("s")).alias("at")
     )
+    last = works.where("at.t is not null").groupBy("work_key").agg(F.max("at").alias("at"))
+    runs = history.versions(states.where("at.t is not null"), "work_key", "status_code", "at", F.to_date("t.t"), last)
+    return runs.select("work_key", "status_code", F.col("valid_from.s").alias("valid_from"), F.coalesce("valid_to.s", F.lit("")).alias("valid_to"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,15 +28,19 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a session on one machine; on a cluster, whose executors could not
+    read it, this is an error.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strataloom-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
-
-

@@ -19,9 +19,9 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
         {
             "bare_unit": F.when(~notes.contains("bare count"), None)
             .when(notes.rlike("ten thousand|万字"), F.lit("wan"))
-            .when(notes.rlike("thousands? of characters|千字"), F.lit("thousand"))
+            .when(notes.rlike("thousands? of characters|千字(?!节)"), F.lit("thousand"))
+            .when(notes.rlike("kilobytes?|kb|千字节"), F.lit("kilobyte"))
             .when(notes.rlike("bytes|字节"), F.lit("byte"))
-            .when(notes.rlike("kilobytes"), F.lit("kilobyte"))
             .when(notes.contains("characters"), F.lit("char")),
             "month_first": F.when(notes.contains("month before day"), True).when(notes.contains("day before month"), False),
         }

@@ -37,3 +37,14 @@ def test_a_hot_key_is_spread_over_its_periods(spark):
     start = dt.datetime(2024, 1, 1)
     rows = [("hot", "ab"[i % 2], start + dt.timedelta(minutes=i)) for i in range(4000)]
     assert history.versions(spark.createDataFrame(rows, "k string, s string, a timestamp"), "k", "s", "a").count() == 4000
+
+
+def test_events_and_ends(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [("w", "a", day), ("w", "a", day + dt.timedelta(days=3)), ("w", "b", day + dt.timedelta(days=9)), ("x", "a", day)]
+    frame = spark.createDataFrame(rows, "k string, s string, a timestamp")
+    events = history.differences(history.snapshots(frame, "k", "s", "a"))
+    assert sorted((r.k, r.event, r.v) for r in events.collect()) == [("w", "changed", "b"), ("w", "deleted", None), ("w", "inserted", "a"), ("w", "unchanged", "a"), ("x", "deleted", None), ("x", "inserted", "a")]
+    ends = spark.createDataFrame([("w", day + dt.timedelta(days=20)), ("nobody", day)], "k string, a timestamp")
+    found = {(r.k, r.s): r.valid_to for r in history.versions(frame, "k", "s", "a", ends=ends).collect()}
+    assert found == {("w", "a"): day + dt.timedelta(days=9), ("w", "b"): day + dt.timedelta(days=20), ("x", "a"): None}
