@@ -7,27 +7,32 @@ change of state between neighbours must explain the jump of the logarithm of the
 that moves smoothly. Viterbi decoding finds the most probable units of the whole series at once.
 
 The decoder works on many series at a time (arrays of series x time), so Python's cost is per step, not per reading.
-Series are cut into windows of ``WINDOW`` positions, each decoded on its own, so a device that holds a third of all rows
-is spread over many tasks.
+Series are cut at one reading in ``PIECE``, so a device that holds a third of all rows is many pieces, which are
+different tasks. The cut doesn't change the result: each piece first gives the best score of every pair of its first and
+last state, these small tables are chained along the device, and each piece is then decoded between the states that
+the whole chain has at its ends.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataloom.functions.text import keep_filled, narrow, strip
 
 #: Characters in one unit; 1 KB is 1024 bytes, two bytes are one character.
 UNITS = {"char": 1.0, "thousand": 1e3, "wan": 1e4, "yi": 1e8, "byte": 0.5, "kilobyte": 512.0, "megabyte": 524288.0}
 NAMES = list(UNITS)
-WINDOW = 1024
-#: Log-likelihoods: a state against the written unit, against the documented one, a fraction of an indivisible unit.
-WRITTEN, DOCUMENTED, FRACTION = -1e4, -60.0, -20.0
+PIECE = 1 << 15
+#: Log-likelihoods: a state against the written unit, against the documented one, a fraction of an indivisible unit. What
+#: documentation says is overruled only where both neighbours have another unit and contradict it by the greatest jumps.
+WRITTEN, DOCUMENTED, FRACTION = -1e4, -25.0, -20.0
 #: Probability of another unit than the neighbour's within one source and across sources; spread and cap of a jump's log-likelihood.
 SWITCH_SAME, SWITCH_OTHER, SPREAD, CAP = 0.02, 0.5, 0.7, 12.0
 #: A bare number without documentation is rather a count of characters.
@@ -62,7 +67,7 @@ def parse(text: Column) -> Column:
     Accepted: full-width figures, thousands separators, Chinese numerals (三十一万一千, 9万9千), words before (约, 全文, 共) and
     labels (字数：) that name the unit. Placeholders, blanks and other texts give null.
     """
-    clean = F.lower(F.regexp_replace(strip(narrow(F.substring(text, 1, 100))), r"\s+", ""))
+    clean = F.lower(F.regexp_replace(strip(narrow(text)), r"\s+", ""))
     label = r"^(?:总|全文)?(字数|字节数|字符数|大小|长度|words?count|characters?|chars?|bytes?|size)[:=]"
     shape = r"^(?:约|近|共|全文|总计|大约|全书)*([\d,.]+|[\d.〇零一二两三四五六七八九十百千万亿]+)(字节|个字符|字符|个字|千字|万字|字|characters?|chars?|bytes?|kb|mb|k字|w字|[kwb千万]|亿字?)?(?:左右|以上)?$"
 
@@ -96,32 +101,44 @@ def parse(text: Column) -> Column:
     return _let(clean, read)
 
 
-def viterbi(log_value: np.ndarray, written: np.ndarray, documented: np.ndarray, source: np.ndarray, fraction: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Most probable state of every reading. The arrays hold whole series one after another; ``start`` marks their first readings."""
-    n, k = len(log_value), len(NAMES)
-    if n == 0:
-        return np.zeros(0, int)
-    factor = np.log(np.array(list(UNITS.values())))
-    states = np.arange(k)
+def emission(written: np.ndarray, documented: np.ndarray, fraction: np.ndarray) -> np.ndarray:
+    """Log-likelihood of every state for every reading, from what the reading itself says."""
+    states = np.arange(len(NAMES))
     score = np.where(written[:, None] >= 0, np.where(states == written[:, None], 0.0, WRITTEN), 0.0)
     bare = (written < 0)[:, None]
     score += np.where(bare & (documented[:, None] >= 0), np.where(states == documented[:, None], 0.0, DOCUMENTED), 0.0)
     score += np.where(bare & (documented[:, None] < 0), PRIOR, 0.0)
-    score += np.where(bare & fraction[:, None] & np.isin(states, (0, 4)), FRACTION, 0.0)
+    return score + np.where(bare & fraction[:, None] & np.isin(states, (0, 4)), FRACTION, 0.0)
+
+
+_FACTOR = np.log(np.array(list(UNITS.values())))
+_STEP = _FACTOR[None, :] - _FACTOR[:, None]
+_MOVES = np.stack([np.where(np.eye(len(NAMES), dtype=bool), np.log(1 - p), np.log(p / (len(NAMES) - 1))) for p in (SWITCH_OTHER, SWITCH_SAME)])
+
+
+def transition(change: np.ndarray, same_source: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Log-likelihood of every pair of states of neighbours whose log-values differ by ``change``."""
+    jump = (change[:, None, None] + _STEP[None]) / spread[:, None, None]
+    return _MOVES[same_source.astype(int)] - np.minimum(0.5 * jump**2, CAP)
+
+
+def viterbi(log_value: np.ndarray, score: np.ndarray, source: np.ndarray, spread: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Most probable state of every reading, and the best score of each series by its last state.
+
+    The arrays hold whole series one after another; ``start`` marks their first readings, ``score`` is their emission.
+    """
+    n, k = score.shape
+    if n == 0:
+        return np.zeros(0, int), np.zeros((0, k))
     first = np.flatnonzero(start)
     length = np.diff(np.append(first, n))
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
-    same = np.eye(k, dtype=bool)
-    moves = np.stack([np.where(same, np.log(1 - p), np.log(p / (k - 1))) for p in (SWITCH_OTHER, SWITCH_SAME)])
-    step = factor[None, :] - factor[:, None]
     best, back = score[first].copy(), np.zeros((n, k), np.int8)
     for t in range(1, int(length[0])):
         live = int(np.searchsorted(-length, -t, side="left"))
         at = first[:live] + t
-        jump = (log_value[at] - log_value[at - 1])[:, None, None] + step[None]
-        trans = moves[(source[at] == source[at - 1]).astype(int)] - np.minimum(0.5 * (jump / SPREAD) ** 2, CAP)
-        total = best[:live, :, None] + trans
+        total = best[:live, :, None] + transition(log_value[at] - log_value[at - 1], source[at] == source[at - 1], spread[at])
         back[at] = total.argmax(1)
         best[:live] = total.max(1) + score[at]
     path = np.zeros(n, int)
@@ -131,57 +148,143 @@ def viterbi(log_value: np.ndarray, written: np.ndarray, documented: np.ndarray,
         at = first[:live] + t
         path[at] = state[:live]
         state[:live] = back[at, state[:live]]
-    return path
+    ends = np.empty_like(best)
+    ends[order] = best
+    return path, ends
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    index = {name: i for i, name in enumerate(NAMES)}
-
-    def solved(part: pd.DataFrame) -> pd.DataFrame:
-        group = part["_series"].to_numpy()
-        value = part["_value"].to_numpy(float)
-        codes = [part[c].map(index).fillna(-1).to_numpy(int) for c in ("_unit", "_documented")]
-        path = viterbi(
-            np.log(np.maximum(value, 1e-9)), *codes, pd.factorize(part["_source"])[0], value != np.floor(value), np.append(True, group[1:] != group[:-1])
-        )
-        return pd.DataFrame({"_row": part["_row"], "_unit": np.array(NAMES, object)[path]})
+def through(log_value: np.ndarray, score: np.ndarray, source: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Best score of one series for every pair of its first and last state."""
+    n, k = score.shape
+    copies = np.tile(score, (k, 1))
+    firsts = np.arange(k) * n
+    copies[firsts] += np.where(np.eye(k, dtype=bool), 0.0, -np.inf)
+    return viterbi(np.tile(log_value, k), copies, np.tile(source, k), np.tile(spread, k), np.isin(np.arange(n * k), firsts))[1]
+
+
+def chain(tables: list[np.ndarray], joints: list[np.ndarray]) -> list[tuple[int, int]]:
+    """First and last state of every piece of a series: ``tables`` are theirs from ``through``, ``joints`` the transitions between them."""
+    best, backs = np.zeros(len(NAMES)), []
+    for i, table in enumerate(tables):
+        if i:
+            total = best[:, None] + joints[i - 1]
+            enter, best = total.argmax(0), total.max(0)
+        else:
+            enter = np.arange(len(NAMES))
+        total = best[:, None] + table
+        backs.append((enter, total.argmax(0)))
+        best = total.max(0)
+    out, last = [], int(best.argmax())
+    for enter, first_of in reversed(backs):
+        first = int(first_of[last])
+        out.append((first, last))
+        last = int(enter[first])
+    return out[::-1]
+
 
+_INDEX = {name: i for i, name in enumerate(NAMES)}
+
+
+def _arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-values, emissions, sources and spreads of readings."""
+    value = part["_value"].to_numpy(float)
+    written, documented = (part[c].map(_INDEX).fillna(-1).to_numpy(int) for c in ("_unit", "_documented"))
+    return np.log(np.maximum(value, 1e-9)), emission(written, documented, value != np.floor(value)), pd.factorize(part["_source"])[0], part["_spread"].to_numpy(float)
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches cut between series only, with the marks of the series' first readings."""
     rest = None
-    for batch in batches:
-        part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        last = part["_series"].iloc[-1] if len(part) else None
-        cut = int(np.searchsorted(part["_series"].to_numpy() == last, True)) if len(part) else 0
+    for batch in itertools.chain(batches, [None]):
+        part = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if part is None or not len(part):
+            continue
+        group = pd.factorize(part["_series"] + "\x1e" + part["_piece"].astype(str))[0]
+        cut = len(part) if batch is None else int(np.searchsorted(group == group[-1], True))
         rest = part.iloc[cut:].reset_index(drop=True)
         if cut:
-            yield solved(part.iloc[:cut].reset_index(drop=True))
-    if rest is not None and len(rest):
-        yield solved(rest)
+            yield part.iloc[:cut].reset_index(drop=True), np.append(True, group[1:cut] != group[: cut - 1])
+
+
+def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part, start in _whole(batches):
+        log_value, score, source, spread = _arrays(part)
+        last = np.append(start[1:], True)
+        for column, at in (("_from", np.flatnonzero(start)), ("_to", np.flatnonzero(last))):
+            state = part[column].to_numpy()[at]
+            at, state = at[state >= 0], state[state >= 0]
+            score[at] += np.where(np.arange(len(NAMES)) == state[:, None], 0.0, -np.inf)
+        path, _ = viterbi(log_value, score, source, spread, start)
+        yield pd.DataFrame({"_row": part["_row"], "_unit": np.array(NAMES, object)[path]})
+
+
+def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part, start in _whole(batches):
+        cuts = [*np.flatnonzero(start), len(part)]
+        rows = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            piece = part.iloc[a:b]
+            log_value, score, source, spread = _arrays(piece)
+            names = piece["_source"]
+            rows.append((piece["_series"].iloc[0], int(piece["_piece"].iloc[0]), through(log_value, score, source, spread).ravel().tolist(), log_value[0], log_value[-1], names.iloc[0], names.iloc[-1], spread[0]))
+        yield pd.DataFrame(rows, columns=["_series", "_piece", "table", "head", "tail", "head_source", "tail_source", "spread"])
+
+
+def _chained(pieces: pd.DataFrame) -> pd.DataFrame:
+    p = pieces.sort_values("_piece").reset_index(drop=True)
+    k = len(NAMES)
+    change = p["head"].to_numpy(float)[1:] - p["tail"].to_numpy(float)[:-1]
+    joints = transition(change, p["head_source"].to_numpy()[1:] == p["tail_source"].to_numpy()[:-1], p["spread"].to_numpy(float)[1:])
+    ends = chain([np.array(t).reshape(k, k) for t in p["table"]], list(joints))
+    return p[["_series", "_piece"]].assign(_from=[a for a, _ in ends], _to=[b for _, b in ends])
+
+
+def _cuts(readings: DataFrame, piece: int) -> DataFrame:
+    """(_series, _cuts): the places where series are cut, at one reading in ``piece``, chosen by the hash of its row."""
+    chosen = readings.where("series is not null and text is not null").where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(piece)) == 0)
+    return chosen.groupBy(F.col("series").alias("_series")).agg(F.sort_array(F.collect_set(_place())).alias("_cuts"))
+
+
+def _place() -> Column:
+    """A reading's place in its series: its position, nulls last, readings of one position in the order of their row's hash."""
+    tie = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return F.coalesce(F.col("position").cast("double"), F.lit(9.2e18)) + tie
 
 
-def convert(readings: DataFrame) -> DataFrame:
-    """Readings (row struct, series string, position long, text string, source string, documented string) as (row, char_count).
+def convert(readings: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Readings (row struct, series string, position long, text string, source string, documented string) as (row, char_count, unit).
 
     ``row`` is carried through; ``series`` and ``position`` order the readings of a device; ``documented`` is the unit (a key
-    of ``UNITS``) that the source states for bare numbers, or null. Texts that state no quantity give no row. A count
-    that isn't whole is cut to the whole characters below it. A reading without series or position stands alone. Ties are taken in the order
-    of the row. Repeated rows are decoded as often as they occur. An empty input gives an empty result.
+    of ``UNITS``) that the source states for bare numbers, or null. An optional column ``spread`` says how much the logarithm of the level
+    moves between neighbours of the series (``SPREAD``). Texts that state no quantity, or more characters than
+    a long holds, give no row. A count that isn't whole is cut to the whole characters below it. A reading without series
+    stands alone, one without position comes last in its series. Ties are taken in the order of the row. Repeated rows are
+    decoded as often as they occur. An empty input gives an empty result. The result doesn't depend on ``piece``.
     """
-    read = keep_filled(readings.withColumn("_p", parse(F.col("text"))), "_p").where("_p.number < 1e15")
-    place = F.coalesce(F.col("position"), F.lit(0))
+    read = keep_filled(readings.withColumn("_p", parse(F.col("text"))), "_p")
+    alone = F.col("series").isNull()
     flat = read.select(
         F.struct("row", F.col("_p.number").alias("number")).alias("_row"),
-        F.when(F.col("series").isNotNull() & F.col("position").isNotNull(), F.concat_ws("\x1f", F.col("series"), F.floor(place / WINDOW)))
-        .otherwise(F.sha2(F.to_json("row"), 256))
-        .alias("_series"),
-        place.alias("_at"),
+        F.when(alone, F.sha2(F.to_json("row"), 256)).otherwise(F.col("series")).alias("_series"),
+        F.when(~alone, _place()).alias("_at"),
         F.col("_p.number").cast("double").alias("_value"),
         F.col("_p.unit").alias("_unit"),
         F.col("documented").alias("_documented"),
         F.coalesce("source", F.lit("")).alias("_source"),
+        (F.coalesce("spread", F.lit(SPREAD)) if "spread" in readings.columns else F.lit(SPREAD)).alias("_spread"),
     )
-    sorted_rows = flat.repartition("_series").sortWithinPartitions("_series", "_at", "_row")
-    schema = flat.select("_row", "_unit").schema
-    decoded = sorted_rows.mapInPandas(_decode, schema)
+    cuts = _cuts(readings, piece).checkpoint()
+    placed = flat.join(cuts, "_series", "left").withColumn("_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_at"))), F.lit(0))).withColumn("_cut", F.col("_cuts").isNotNull()).drop("_cuts")
+    by_piece = lambda frame: frame.repartition("_series", "_piece").sortWithinPartitions("_series", "_piece", "_at", "_row")
+    series = flat.schema["_series"]
+    cell = [series, T.StructField("_piece", T.IntegerType())]
+    real, text = T.DoubleType(), T.StringType()
+    table = T.StructType([*cell, T.StructField("table", T.ArrayType(real)), T.StructField("head", real), T.StructField("tail", real), T.StructField("head_source", text), T.StructField("tail_source", text), T.StructField("spread", real)])
+    bounds = T.StructType([*cell, T.StructField("_from", T.IntegerType()), T.StructField("_to", T.IntegerType())])
+    ends = by_piece(placed.where("_cut")).mapInPandas(_tables, table).groupBy("_series").applyInPandas(_chained, bounds)
+    small = placed.where("not _cut").withColumns({"_from": F.lit(-1), "_to": F.lit(-1)})
+    cut = placed.where("_cut").join(ends, ["_series", "_piece"])
+    decoded = by_piece(small.unionByName(cut)).mapInPandas(_decode, flat.select("_row", "_unit").schema)
     factor = F.create_map(*[x for name, size in UNITS.items() for x in (F.lit(name), F.lit(str(size)).cast("decimal(12,2)"))])
-    count = F.floor(F.col("_row.number") * F.element_at(factor, F.col("_unit")))
-    return decoded.select(F.col("_row.row").alias("row"), count.cast("bigint").alias("char_count"), F.col("_unit").alias("unit"))
+    count = F.floor(F.col("_row.number") * F.element_at(factor, F.col("_unit"))).try_cast("bigint")
+    return decoded.select(F.col("_row.row").alias("row"), count.alias("char_count"), F.col("_unit").alias("unit")).where("char_count is not null")

@@ -58,17 +58,22 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.select("work_key", "status_code", F.col("valid_from.s").alias("valid_from"), F.coalesce("valid_to.s", F.lit("")).alias("valid_to"))
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every stated length in characters, unless the text is already exactly that number."""
+#: How much the logarithm of a work's length moves between observations; chapters of a work differ more (the default).
+WORK_SPREAD = 0.25
+
+
+def lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """The readings of problem 1. A device is a work: its count in work_master, which comes first, and its observations in
+    order of time; or a work's chapters in order of their number."""
     known = profiles(spark, folder)
     counts = [
         table(spark, folder, "work_master", "work_key", "word_count").select(
             F.lit("work_master").alias("table_name"), F.col("work_key").alias("record_key"), F.col("word_count").alias("text"), F.lit("work_master").alias("source"),
-            F.concat(F.lit("w:"), "work_key").alias("series"), F.lit(0).cast("bigint").alias("position"), F.lit("char").alias("stated"),
+            F.concat(F.lit("w:"), "work_key").alias("series"), F.lit(-1).cast("bigint").alias("position"), F.lit("char").alias("stated"),
         ),
         table(spark, folder, "source_observation", "observation_id", "source_id", "work_key", "word_count", "observed_at").select(
             F.lit("source_observation").alias("table_name"), F.col("observation_id").alias("record_key"), F.col("word_count").alias("text"), F.col("source_id").alias("source"),
-            F.concat(F.lit("w:"), "work_key").alias("series"), F.unix_seconds(F.try_to_timestamp("observed_at")).alias("position"), F.lit(None).cast("string").alias("stated"),
+            F.concat(F.lit("w:"), "work_key").alias("series"), F.unix_micros(F.try_to_timestamp("observed_at")).alias("position"), F.lit(None).cast("string").alias("stated"),
         ),
         table(spark, folder, "chapters", "platform", "work_id", "chapter_key", "chapter_number", "word_count", "source_kind").select(
             F.lit("chapters").alias("table_name"), chapter_key().alias("record_key"), F.col("word_count").alias("text"), F.col("source_kind").alias("source"),
@@ -76,10 +81,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
         ),
     ]
     values = counts[0].unionByName(counts[1]).unionByName(counts[2]).where("text is not null")
-    readings = values.join(known.select(F.col("source_key").alias("source"), "bare_unit"), "source", "left").select(
-        F.struct("table_name", "record_key", "text").alias("row"), "series", "position", "text", "source", F.coalesce("stated", "bare_unit").alias("documented")
+    return values.distinct().join(known.select(F.col("source_key").alias("source"), "bare_unit"), "source", "left").select(
+        F.struct("table_name", "record_key", "text").alias("row"), "series", "position", "text", "source", F.coalesce("stated", "bare_unit").alias("documented"),
+        F.when(F.col("row.table_name") == "chapters", units.SPREAD).otherwise(WORK_SPREAD).alias("spread"),
     )
-    found = units.convert(readings)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stated length in characters, unless the text is already exactly that number."""
+    found = units.convert(lengths(spark, folder))
     return found.where(F.col("row.text") != F.col("char_count").cast("string")).select("row.table_name", "row.record_key", "char_count").distinct()
 
 

@@ -67,7 +67,8 @@ def test_viterbi_equals_exhaustive_search():
         n = 4
         value = random.uniform(0, 12, n)
         documented, source, fraction = random.integers(-1, 7, n), random.integers(0, 2, n), random.random(n) < 0.3
-        path = units.viterbi(value, np.full(n, -1), documented, source, fraction, np.array([True, False, False, False]))
+        score_of = units.emission(np.full(n, -1), documented, fraction)
+        path, _ = units.viterbi(value, score_of, source, np.full(n, units.SPREAD), np.array([True, False, False, False]))
 
         def score(states):
             total = 0.0
@@ -87,6 +88,35 @@ def test_viterbi_equals_exhaustive_search():
         assert abs(score(best) - score(tuple(path))) < 1e-9
 
 
-def test_windows_cut_a_hot_device(spark):
-    frame = spark.range(5000).select(F.struct(F.col("id").cast("string").alias("k")).alias("row"), F.lit("hot").alias("series"), F.col("id").alias("position"), F.lit("2.5").alias("text"), F.lit("s").alias("source"), F.lit("wan").alias("documented"))
-    assert units.convert(frame).where("char_count = 25000").count() == 5000
+def test_pieces_of_a_hot_device_agree_with_the_unbroken_chain(spark):
+    draw = np.random.default_rng(4)
+    texts = [str(int(v)) if draw.random() < 0.5 else f"{v / 1000:.1f}" if draw.random() < 0.8 else f"{v / 1000:.1f}k" for v in 3000 * np.exp(draw.normal(0, 0.2, 3000))]
+    frame = rows(spark, *[(f"k{i}", "hot", i // 2, text, "ab"[i % 2], None) for i, text in enumerate(texts)])
+    decoded = [{(r.row.k, r.unit, r.char_count) for r in units.convert(frame, piece).collect()} for piece in (1 << 40, 100, 7)]
+    assert len(decoded[0]) == 3000 and decoded[0] == decoded[1] == decoded[2]
+
+
+def test_distant_readings_of_a_device_are_neighbours(spark):
+    month = 30 * 86400 * 10**6
+    frame = rows(spark, ("first", "w", 0, "250000", "a", "char"), ("later", "w", month, "26", "b", None), ("last", "w", 5 * month, "27万", "c", None))
+    assert found(frame)["later"] == 260000
+
+
+def test_documentation_yields_to_both_neighbours_only(spark):
+    frame = rows(spark, ("a", "w", 1, "30", "s", "wan"), ("odd", "w", 2, "30", "t", "char"), ("b", "w", 3, "30.1", "s", "wan"), ("x", "v", 1, "300000", "s", "char"), ("end", "v", 2, "30", "t", "char"))
+    counts = found(frame)
+    assert counts["odd"] == 300000 and counts["end"] == 30
+
+
+def test_withheld_documentation(spark):
+    """The chain alone, without what the registry says of a source, finds the unit of bare counts of observed works."""
+    from pyspark.sql import functions as F
+
+    from strataloom.plans import problems
+
+    readings = problems.lengths(spark, "/root/testdata/sf0.01").where("row.table_name != 'chapters'").cache()
+    told = units.convert(readings)
+    alone = units.convert(readings.withColumn("documented", F.when(F.col("row.table_name") == "work_master", F.col("documented"))))
+    both = told.withColumnRenamed("unit", "u").join(alone, "row").join(readings.select("row", units.parse(F.col("text")).alias("p")), "row").where("p.unit is null and row.table_name = 'source_observation'")
+    n, right = both.agg(F.count(F.lit(1)), F.sum((F.col("u") == F.col("unit")).cast("int"))).first()
+    assert n > 300 and right / n >= 0.9, (n, right)
