@@ -35,15 +35,37 @@ def test_functional_dependency_across_groups(spark):
     assert best(frame(spark, rows))["x", "author"] == "right"
 
 
-def test_search_equals_exhaustive():
-    draw = random.Random(5)
-    for _ in range(200):
-        bundles = [[(draw.random(), draw.random() < 0.3) for _ in range(draw.randrange(1, 5))] for _ in range(draw.randrange(1, 4))]
-        allowed = [[i for i, (_, broken) in enumerate(b) if not broken] or range(len(b)) for b in bundles]
-        want = max(sum(b[i][0] for b, i in zip(bundles, pick, strict=True)) for pick in itertools.product(*allowed))
-        got = S.search(bundles)
-        assert abs(sum(b[i][0] for b, i in zip(bundles, got, strict=True)) - want) < 1e-12 and all(i in a for i, a in zip(got, allowed, strict=True))
-    assert S.search([]) == []
+def total(bundles, joint, pick):
+    return sum(b[i] for b, i in zip(bundles, pick, strict=True)) + sum(w for (a, i, b, j), w in joint.items() if pick[a] == i and pick[b] == j)
+
+
+def test_search_equals_exhaustive_and_differs_from_each_bundle_alone():
+    draw, apart = random.Random(5), 0
+    for _ in range(300):
+        bundles = [sorted((draw.random() for _ in range(draw.randrange(1, 5))), reverse=True) for _ in range(draw.randrange(1, 5))]
+        joint = {(a, i, b, j): 0.4 * draw.random() for a in range(len(bundles)) for b in range(a + 1, len(bundles)) for i in range(len(bundles[a])) for j in range(len(bundles[b])) if draw.random() < 0.6}
+        want = max(total(bundles, joint, pick) for pick in itertools.product(*[range(len(b)) for b in bundles]))
+        got = S.search(bundles, joint)
+        assert abs(total(bundles, joint, got) - want) < 1e-9
+        apart += any(got)
+    assert apart > 50
+    assert S.search([], {}) == []
+    assert S.search([[1.0, 1.0], [1.0, 1.0]], {}) == [0, 0]
+
+
+def test_values_observed_together_survive_together(spark):
+    """Alone, title A (0.46 of 0.4 + 0.16 ...) and B are close; B was seen with the author that wins, so B survives."""
+    rows = [
+        ("w", "1", 4, 2, "A", None, None, None), ("w", "2", 3, 1, "B", "x", None, "2001"), ("w", "3", 2, 1, "B", "x", None, "2001"),
+    ]
+    found = best(frame(spark, rows))
+    weights = {"A": 0.6, "B": 0.4 + 0.16}
+    assert weights["A"] > weights["B"] and found == {("w", "title"): "B", ("w", "author"): "x", ("w", "year"): "2001"}
+
+
+def test_a_value_with_several_determinants(spark):
+    rows = [(f"w{i}", f"o{i}", 1, 1, None, "right", "id7", None) for i in range(4)] + [("x", "a", 1, 3, None, "right", "id7", None), ("x", "c", 1, 3, None, "right", "id0", None), ("x", "b", 2, 1, None, "wrong", "id7", None)]
+    assert best(frame(spark, rows))["x", "author"] == "right"
 
 
 def test_newest_trusted(spark):
@@ -60,8 +82,15 @@ def test_newest_trusted(spark):
     assert best(f.limit(0)) == {}
 
 
-def test_hot_group_ranks(spark):
-    rows = [("hot", f"o{i:04d}", i, 1, "old" if i < 990 else "new", None, None, None) for i in range(1000)]
+def test_ranks_of_a_hot_group(spark):
+    rows = [("hot", f"o{i:04d}", i if i % 7 else None, 1, "old" if i < 990 else "new", None, None, None) for i in range(1000)]
     f = frame(spark, rows)
-    assert S.ranked(f, "work", "at", "obs").count() == S.RANKS
+    ranks = {r.obs: r._rank for r in S.ranked(f, "work", "at", "obs").collect()}
+    assert sorted(ranks.values()) == list(range(1000))
+    assert ranks["o0999"] == 0 and ranks["o0998"] == 1 and max(ranks[f"o{i:04d}"] for i in range(1000) if i % 7) < min(ranks[f"o{i:04d}"] for i in range(1000) if not i % 7)
     assert best(f)["hot", "title"] == "new"
+
+
+def test_old_values_count_where_no_newer_is_real(spark):
+    rows = [("w", f"p{i:04d}", 5000 - i, 1, "未知", None, None, None) for i in range(1200)] + [("w", "x", 3, 1, "newer", None, None, None), ("w", "y", 2, 1, "older", None, None, None), ("w", "z", 1, 1, "older", None, None, None)]
+    assert best(frame(spark, rows))["w", "title"] == "newer"
