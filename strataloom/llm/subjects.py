@@ -6,8 +6,8 @@ features' embeddings, over the whole text. Training is synchronous: in every rou
 gradient of its labelled documents, the driver adds the gradients and makes one step, and the new parameters go out.
 Every document is then scored, each on its own, without a shuffle.
 
-Memory: gradients are dense arrays of fixed size (``BUCKETS`` x ``SIZE``), so what reaches the driver in a round is
-bounded by the number of training partitions (``PARTS``), whatever the data.
+Memory: gradients have at most a fixed size (``BUCKETS`` x ``SIZE``), so what reaches the driver in a round is bounded by
+the number of training partitions (the session's parallelism, at most ``PARTS``), whatever the data.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from strataloom.llm.names import base_script
 from strataloom.session import checkpoint_dir
 
 BUCKETS, SIZE = 1 << 16, 16
-#: Training: partitions, rounds, step, decay of weights; labelled documents that are used at most; share held out for the thresholds.
-PARTS, ROUNDS, STEP, SHRINK, LABELLED, HELD = 6, 60, 0.08, 1e-6, 20_000, 0.15
+#: Training: partitions at most, rounds, step, decay of weights; labelled documents that are used, about; share held out for the thresholds.
+PARTS, ROUNDS, STEP, SHRINK, LABELLED, HELD = 16, 60, 0.08, 1e-6, 20_000, 0.15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,8 +196,9 @@ def _pack(arrays: list[np.ndarray]) -> list[bytes]:
 def train(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[Model, np.ndarray, np.ndarray | None]:
     """A model of documents (doc_id, text) and labels (doc_id, subject_code), the feature weights and the folding.
 
-    Up to ``LABELLED`` labelled documents with a text are used, those of the smallest hashes of doc_id; the others only
-    count for the weights of features. Labels of unknown subjects and of unknown documents are ignored. Without any
+    About ``LABELLED`` labelled documents with a text are used, those whose hash of doc_id lies below a threshold that
+    their number gives; the others only count for the weights of features. Of a doc_id with several texts the smallest
+    one is used. Labels of unknown subjects and of unknown documents are ignored. Without any
     usable label the model gives no document a subject.
     """
     spark = documents.sparkSession
@@ -205,8 +206,13 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple
     fold = folding(spark)
     weight = rarity(documents, "text", fold)
     per = labels.where(F.col("subject_code").isin(subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject_code")).alias("codes"))
-    examples = documents.select("doc_id", "text").where("text is not null").dropDuplicates(["doc_id"]).join(per, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    examples = examples.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).cast("int")).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1000)) < int(1000 * HELD))
+    whole = 1 << 40
+    share = min(1.0, LABELLED / max(1, per.count()))
+    # About LABELLED rows of an id and its codes: small enough to send out, so that the documents stay where they are.
+    used = F.broadcast(per.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < int(share * whole)))
+    examples = documents.select("doc_id", "text").where("text is not null").join(used, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("codes").alias("codes"))
+    parts_used = max(2, min(PARTS, spark.sparkContext.defaultParallelism))
+    examples = examples.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts_used)).cast("int")).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1000)) < int(1000 * HELD))
     tools = spark.sparkContext.broadcast((weight, fold, subjects))
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +223,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple
         return pd.DataFrame({"part": [int(pdf["part"][0])], "document": [document.astype(np.int32).tobytes()], "feature": [feature.astype(np.int32).tobytes()], "share": [share.astype(np.float32).tobytes()], "labels": [y.tobytes()], "held": [pdf["held"].to_numpy(bool).tobytes()]})
 
     # One row a part, bounded by LABELLED; written to the shared folder, so that a lost executor costs no more than a read.
-    parts = examples.groupBy("part").applyInPandas(encode, "part int, document binary, feature binary, share binary, labels binary, held binary").repartition(PARTS, "part").checkpoint()
+    parts = examples.groupBy("part").applyInPandas(encode, "part int, document binary, feature binary, share binary, labels binary, held binary").repartition(parts_used, "part").checkpoint()
     shapes = [(BUCKETS, SIZE), (SIZE, len(subjects)), (len(subjects),)]
     values = start(len(subjects))
     adam = Adam(shapes)
