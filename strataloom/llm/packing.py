@@ -1,13 +1,14 @@
 """Filling containers of fixed capacity with documents that read well together.
 
-Documents are spread over shards by their most characteristic term, so that neighbours meet. Each shard holds a BM25
-inverted index of its documents. A seed document opens a container; the index returns its unused neighbours, which
+Documents are spread over shards by clusters of their weighted terms, so that neighbours meet; the clusters' centres are
+fitted on a bounded sample (``FITTED``), every document is assigned. Each shard holds a BM25 inverted index of its
+documents. A seed document opens a container; the index returns its unused neighbours, which
 fill the window in order of their score while they fit; what then remains is filled with the largest unused items that
 fit. A document longer than the capacity is cut: whole windows are containers of their own, and the rest is an item.
 
-Scale: a term that is characteristic of a third of all documents is spread over as many shards as its documents need;
-rare terms share a shard. Shards hold about ``SHARD`` documents, each is one task, and nothing is exchanged between
-them. The unused space that this costs is at most one open container a shard.
+Scale: a cluster that holds a third of all documents is cut by the second nearest centre, and by hash where a cell is
+still too large; small clusters share a shard. Shards hold about ``SHARD`` documents, each is one task, and nothing is
+exchanged between them. The unused space that this costs is at most one open container a shard.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.llm.subjects import BUCKETS, bag
+from strataloom.llm.tokens import VOCABULARY, encoding
 
-#: Documents of a shard; BM25's parameters; terms of a seed that make up its query, the most characteristic ones.
-SHARD, K1, B, QUERY = 1500, 1.2, 0.75, 48
+#: Documents of a shard; BM25's parameters.
+SHARD, K1, B = 1500, 1.2, 0.75
+#: Length of a document's vector; clusters at most; documents, about, that the clusters are fitted on.
+SKETCH, CENTRES, FITTED = 256, 256, 8000
 
 
 class Index:
@@ -42,21 +46,23 @@ class Index:
         rarity = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
         usual = max(1e-9, length.mean()) if n else 1.0
         self.score = rarity * count * (K1 + 1) / (count + K1 * (1 - B + B * length[self.document] / usual)) if len(term) else np.zeros(0)
-        # The query of a document: its terms of the highest score that any other document has.
-        self.queries: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+        # The query of a document: all its terms that any other document has.
         shared = np.flatnonzero(frequency > 1)
-        best = shared[np.lexsort((-self.score[shared], self.document[shared]))]
-        starts = np.searchsorted(self.document[best], np.arange(n + 1))
-        for d in range(n):
-            self.queries[d] = term[best[starts[d] : min(starts[d + 1], starts[d] + QUERY)]]
+        shared = shared[np.argsort(self.document[shared], kind="stable")]
+        self.terms, self.starts = term[shared], np.searchsorted(self.document[shared], np.arange(n + 1))
         self.n = n
 
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for the whole of the seed as query."""
+        terms = self.terms[self.starts[seed] : self.starts[seed + 1]]
+        begin, size = self.begin[terms], self.end[terms] - self.begin[terms]
+        # The places of all postings of these terms, one list after another.
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.document[at], self.score[at], self.n)
+
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term of the seed's query, the best first; ties in order of their number."""
-        total = np.zeros(self.n)
-        for t in self.queries[seed]:
-            a, b = self.begin[t], self.end[t]
-            total[self.document[a:b]] += self.score[a:b]
+        """Unused documents that share a term with the seed, the best first; ties in order of their number."""
+        total = self.scores(seed)
         total[used] = 0
         total[seed] = 0
         found = np.flatnonzero(total)
@@ -94,63 +100,123 @@ def fill(sizes: np.ndarray, capacity: int, index: Index) -> list[list[int]]:
     return containers
 
 
-def _shards(described: DataFrame) -> dict[int, tuple[int, int]]:
-    """Leading term to (first shard, number of shards). The counts of at most BUCKETS terms reach the driver."""
-    counts = sorted((r.term, r.n) for r in described.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect())
-    out, shard, held = {}, 0, 0
-    for term, n in counts:
-        if n > SHARD:
-            need = -(-n // SHARD)
-            shard += 1 if held else 0
-            out[term] = (shard, need)
-            shard, held = shard + need, 0
-            continue
-        if held + n > SHARD:
-            shard, held = shard + 1, 0
-        out[term] = (shard, 1)
-        held += n
+def sketch(document: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
+    """Unit vectors of ``SKETCH`` numbers whose products are about the cosines of the documents' weighted terms."""
+    mixed = term.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    place, sign = (mixed >> np.uint64(40)) % np.uint64(SKETCH), 1.0 - 2.0 * ((mixed >> np.uint64(20)) & np.uint64(1)).astype(float)
+    vectors = np.bincount(document * SKETCH + place.astype(np.int64), np.sqrt(count * weight[term]) * sign, n * SKETCH).reshape(n, SKETCH)
+    return (vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))).astype(np.float32)
+
+
+def centres(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Centres of ``k`` clusters of unit vectors by the cosine (k-means)."""
+    if not len(vectors):
+        return np.ones((1, SKETCH), np.float32)
+    out = vectors[np.random.default_rng(0).choice(len(vectors), min(k, len(vectors)), False)].copy()
+    for _ in range(12):
+        near = (vectors @ out.T).argmax(1)
+        for i in np.unique(near):
+            out[i] = vectors[near == i].sum(0)
+        out /= np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
     return out
 
 
-def pack(documents: DataFrame, capacities: list[tuple[int, int]], weight: np.ndarray, fold: np.ndarray | None) -> DataFrame:
-    """Documents (doc_id, text, tokens) as (spec_id, container_id, doc_id, position, start_token, tokens).
+def _cells(vectors: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """The cell of each vector: its nearest centre and its second nearest."""
+    order = np.argsort(-(vectors @ middle.T), axis=1, kind="stable")
+    return order[:, 0] * CENTRES + (order[:, 1] if len(middle) > 1 else 0)
+
+
+def _shards(counts: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """Cell to (first shard, number of shards). A cluster of up to one and a half shards stays whole, a larger one is cut between cells."""
+    clusters: dict[int, list[tuple[int, int]]] = {}
+    for cell, n in sorted(counts):
+        clusters.setdefault(cell // CENTRES, []).append((cell, n))
+    out, shard, room = {}, -1, 0
+    for cells in clusters.values():
+        total = sum(n for _, n in cells)
+        if total > room:  # small clusters share a shard
+            shard, room = shard + 1, max(SHARD, total) if total <= 1.5 * SHARD else SHARD
+        for cell, n in cells:
+            need = -(-n // SHARD) if n > 1.5 * SHARD else 1
+            if need > 1:
+                shard += room < SHARD
+                out[cell] = (shard, need)
+                shard, room = shard + need, SHARD
+                continue
+            if n > room:
+                shard, room = shard + 1, max(n, SHARD)
+            out[cell] = (shard, 1)
+            room -= n
+    return out
+
+
+def _squeezed(terms: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Terms in two bytes each, counts in one where all fit and in four else."""
+    return terms.astype("<u2").tobytes(), counts.astype("u1" if not len(counts) or counts.max() < 256 else "<u4").tobytes()
+
+
+def _spread_out(terms: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(terms, "<u2")
+    return names, np.frombuffer(counts, "u1" if len(counts) == len(names) else "<u4")
+
+
+def pack(documents: DataFrame, capacities: list[tuple[int, int]], weight: np.ndarray, fold: np.ndarray | None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Documents (doc_id, text) as (spec_id, container_id, doc_id, position, start_token, tokens).
 
     Every token of every document is in exactly one container of each spec. ``position`` counts the items of a
     container from 1; ``start_token`` is 0 but for pieces of a document longer than the capacity. Documents without
     tokens (null or empty text) are in no container. A doc_id that occurs several times is packed as often. Capacities
-    that are null or below 1 are left out. An empty table gives no containers; other columns are ignored.
+    that are null or below 1 are left out. Sizes are tokens of ``vocabulary``, taken in the same pass as the terms. An empty table gives no containers; other columns are ignored.
     """
     spark = documents.sparkSession
+    texts = documents.where("text is not null and text != ''").select("doc_id", "text")
+    n = texts.count()
     tools = spark.sparkContext.broadcast((weight, fold))
 
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, folding = tools.value
+        for batch in batches:
+            for i in range(0, len(batch), 200):
+                piece = list(batch["text"].iloc[i : i + 200])
+                yield pd.DataFrame({"v": [v.tobytes() for v in sketch(*bag(piece, folding), len(piece), w)]})
+
+    whole = 1 << 40
+    drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(whole)) < int(min(1.0, FITTED / max(1, n)) * whole))
+    sample = np.array([np.frombuffer(r.v, np.float32) for r in drawn.mapInPandas(sketched, "v binary").collect()]).reshape(-1, SKETCH)
+    middle = spark.sparkContext.broadcast(centres(sample, max(1, min(CENTRES, round(1.5 * n / SHARD)))))
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, folding = tools.value
+        coder = encoding(vocabulary)
         for batch in batches:
             for i in range(0, len(batch), 200):
                 piece = batch.iloc[i : i + 200]
+                sizes = np.array([len(coder.encode_ordinary(t)) for t in piece["text"]], np.int64)
+                piece = piece[sizes > 0]
                 document, term, count = bag(list(piece["text"]), folding)
                 cut = np.searchsorted(document, np.arange(len(piece) + 1))
-                terms = [term[a:b].astype(np.int32) for a, b in zip(cut, cut[1:], strict=False)]
-                counts = [count[a:b].astype(np.int32) for a, b in zip(cut, cut[1:], strict=False)]
-                lead = [int(t[np.argmax(np.sqrt(c) * w[t])]) if len(t) else -1 for t, c in zip(terms, counts, strict=True)]
-                yield pd.DataFrame({"doc_id": piece["doc_id"].to_numpy(), "tokens": piece["tokens"].to_numpy(), "term": lead, "terms": terms, "counts": counts})
+                parts = [(term[a:b], count[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+                cells = _cells(sketch(document, term, count, len(piece), w), middle.value)
+                terms, counts = zip(*[_squeezed(*x) for x in parts], strict=True) if parts else ((), ())
+                yield pd.DataFrame({"doc_id": piece["doc_id"].to_numpy(), "tokens": sizes[sizes > 0], "cell": cells, "terms": terms, "counts": counts})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    sized = documents.where("tokens > 0").select("doc_id", "tokens", "text").mapInPandas(describe, f"doc_id {kind}, tokens long, term int, terms array<int>, counts array<int>").checkpoint()
-    places = spark.sparkContext.broadcast(_shards(sized))
+    sized = texts.mapInPandas(describe, f"doc_id {kind}, tokens long, cell int, terms binary, counts binary").checkpoint()
+    places = spark.sparkContext.broadcast(_shards([tuple(r) for r in sized.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]))
 
     @F.pandas_udf(T.IntegerType())
-    def place(terms: pd.Series, salt: pd.Series) -> pd.Series:
+    def place(cells: pd.Series, salt: pd.Series) -> pd.Series:
         at = places.value
-        return pd.Series([at[t][0] + s % at[t][1] for t, s in zip(terms, salt, strict=True)])
+        return pd.Series([at[t][0] + s % at[t][1] for t, s in zip(cells, salt, strict=True)])
 
     specs = sorted((int(s), int(c)) for s, c in capacities if s is not None and c is not None and c >= 1)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "tokens"]).reset_index(drop=True)
         n, shard = len(pdf), int(pdf["shard"].iloc[0])
-        lengths = [len(t) for t in pdf["terms"]]
-        index = Index(np.repeat(np.arange(n), lengths), np.concatenate([*pdf["terms"], np.zeros(0, np.int32)]).astype(np.int64), np.concatenate([*pdf["counts"], np.zeros(0, np.int32)]), n)
+        parts = [_spread_out(t, c) for t, c in zip(pdf.pop("terms"), pdf.pop("counts"), strict=True)]
+        index = Index(np.repeat(np.arange(n), [len(t) for t, _ in parts]), np.concatenate([t for t, _ in parts]).astype(np.int64), np.concatenate([c for _, c in parts]), n)
         total, ids, rows = pdf["tokens"].to_numpy(np.int64), pdf["doc_id"].to_numpy(), []
         for spec, capacity in specs:
             number = 0
@@ -165,5 +231,5 @@ def pack(documents: DataFrame, capacities: list[tuple[int, int]], weight: np.nda
                 number += 1
         return pd.DataFrame(rows, columns=["spec_id", "container_id", "doc_id", "position", "start_token", "tokens"])
 
-    spread = sized.withColumn("shard", place("term", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int")))
+    spread = sized.withColumn("shard", place("cell", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int")))
     return spread.groupBy("shard").applyInPandas(one, f"spec_id int, container_id string, doc_id {kind}, position int, start_token long, tokens long")

@@ -103,7 +103,7 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     weight = subjects.rarity(documents, "text", fold)
     capacities = [tuple(r) for r in table(spark, folder, "pack_spec", "spec_id", "capacity_tokens").collect()]
     checkpoint_dir(spark)
-    return packing.pack(tokens.with_tokens(documents, "text"), capacities, weight, fold)
+    return packing.pack(documents, capacities, weight, fold)
 
 
 def p8_filling(spark: SparkSession, folder: str) -> DataFrame:

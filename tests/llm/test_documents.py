@@ -124,3 +124,34 @@ def test_tokens(spark):
     frame = spark.createDataFrame([("hello world",), (None,), ("",), ("法" * 10000,)], "t string")
     sizes = [r.tokens for r in tokens.with_tokens(frame, "t").collect()]
     assert 2 <= sizes[0] <= 4 and sizes[1:3] == [0, 0] and sizes[3] >= 10000
+
+
+def test_neighbours_score_like_bm25_over_all_terms():
+    random = np.random.default_rng(2)
+    texts = ["".join(random.choice(list("法官庭审钢琴和弦罚球"), 12)) for _ in range(30)]
+    document, term, count = subjects.bag(texts)
+    index = packing.Index(document, term, count, len(texts))
+    bags = [dict(zip(term[document == d], count[document == d], strict=True)) for d in range(len(texts))]
+    length, df = [sum(b.values()) for b in bags], {t: sum(t in b for b in bags) for t in set(term)}
+    usual, n = sum(length) / len(length), len(texts)
+
+    def bm25(query, d):
+        parts = [np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * bags[d][t] * 2.2 / (bags[d][t] + 1.2 * (0.25 + 0.75 * length[d] / usual)) for t in bags[query] if t in bags[d] and df[t] > 1]
+        return sum(parts)
+
+    for seed in (0, 7):
+        got = index.scores(seed)
+        assert all(abs(got[d] - bm25(seed, d)) < 1e-9 for d in range(n) if d != seed)
+
+
+def test_shards_cover_all_cells_and_cut_large_ones():
+    counts = [(0, 100), (1, 200), (packing.CENTRES, 2000), (2 * packing.CENTRES, 1400), (2 * packing.CENTRES + 1, 5000), (2 * packing.CENTRES + 2, 700)]
+    places = packing._shards(counts)
+    assert set(places) == {c for c, _ in counts}
+    held = {}
+    for cell, n in counts:
+        first, number = places[cell]
+        for s in range(first, first + number):
+            held[s] = held.get(s, 0) + n / number
+    assert max(held.values()) <= 1.5 * packing.SHARD and places[2 * packing.CENTRES + 1][1] == 4
+    assert packing._shards([]) == {}
