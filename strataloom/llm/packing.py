@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from strataloom.llm.subjects import BUCKETS, bag
 from strataloom.llm.tokens import VOCABULARY, encoding
 
-#: Documents of a shard; BM25's parameters.
-SHARD, K1, B = 1500, 1.2, 0.75
+#: Documents of a shard, about, half as many more at most; BM25's parameters; terms of more than one in OFTEN documents are frequent.
+SHARD, K1, B, OFTEN = 1500, 1.2, 0.75, 16
 #: Length of a document's vector; clusters at most; documents, about, that the clusters are fitted on.
 SKETCH, CENTRES, FITTED = 256, 256, 8000
 
@@ -46,23 +46,33 @@ class Index:
         rarity = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
         usual = max(1e-9, length.mean()) if n else 1.0
         self.score = rarity * count * (K1 + 1) / (count + K1 * (1 - B + B * length[self.document] / usual)) if len(term) else np.zeros(0)
-        # The query of a document: all its terms that any other document has.
-        shared = np.flatnonzero(frequency > 1)
-        shared = shared[np.argsort(self.document[shared], kind="stable")]
-        self.terms, self.starts = term[shared], np.searchsorted(self.document[shared], np.arange(n + 1))
         self.n = n
+        # The query of a document is all its terms that any other document has. Frequent terms are scored by products of
+        # dense blocks, the others by their postings; both once for all documents.
+        often = np.flatnonzero(self.end - self.begin > max(16, n // OFTEN))
+        self.table = np.zeros((n, n), np.float32)
+        for block in (often[i : i + 512] for i in range(0, len(often), 512)):
+            scores = np.zeros((n, len(block)), np.float32)
+            for column, t in enumerate(block):
+                scores[self.document[self.begin[t] : self.end[t]], column] = self.score[self.begin[t] : self.end[t]]
+            self.table += (scores > 0).astype(np.float32) @ scores.T
+        shared = np.flatnonzero((frequency > 1) & (frequency <= max(16, n // OFTEN)))
+        shared = shared[np.argsort(self.document[shared], kind="stable")]
+        terms, starts = term[shared], np.searchsorted(self.document[shared], np.arange(n + 1))
+        for d in range(n):
+            own = terms[starts[d] : starts[d + 1]]
+            begin, size = self.begin[own], self.end[own] - self.begin[own]
+            # The places of all postings of these terms, one list after another.
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            self.table[d] += np.bincount(self.document[at], self.score[at], n)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the whole of the seed as query."""
-        terms = self.terms[self.starts[seed] : self.starts[seed + 1]]
-        begin, size = self.begin[terms], self.end[terms] - self.begin[terms]
-        # The places of all postings of these terms, one list after another.
-        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.document[at], self.score[at], self.n)
+        return self.table[seed]
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, the best first; ties in order of their number."""
-        total = self.scores(seed)
+        total = self.scores(seed).copy()
         total[used] = 0
         total[seed] = 0
         found = np.flatnonzero(total)

@@ -139,9 +139,10 @@ def test_neighbours_score_like_bm25_over_all_terms():
         parts = [np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * bags[d][t] * 2.2 / (bags[d][t] + 1.2 * (0.25 + 0.75 * length[d] / usual)) for t in bags[query] if t in bags[d] and df[t] > 1]
         return sum(parts)
 
+    assert 0 < sum(x > 16 for x in df.values()) < len(df)
     for seed in (0, 7):
         got = index.scores(seed)
-        assert all(abs(got[d] - bm25(seed, d)) < 1e-9 for d in range(n) if d != seed)
+        assert all(abs(got[d] - bm25(seed, d)) < 1e-5 for d in range(n) if d != seed)
 
 
 def test_shards_cover_all_cells_and_cut_large_ones():
