@@ -18,6 +18,8 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ from strataloom.session import checkpoint_dir
 #: Characters that may separate values.
 DELIMITERS = ",，、;；|｜/\n\t"
 BLANKS = "  　​﻿\r\n\t"
-#: Most tokens an edge runs over; price (nats) of every separator inside a value; log-priors of schemes by their size.
+#: Most pieces a value runs over (a value holds at most two separators of its scheme: part of the model, not of its search); price (nats) of every separator inside a value; log-priors of schemes by their size.
 SPAN, INSIDE, SCHEMES = 3, 7.0, (-3.0, -0.4, -2.5, -4.5)
 #: Weight of the shape model against counted values, probability of a shape that wasn't seen and its price for every
 #: delimiter in the value, nats a character.
@@ -41,6 +43,7 @@ _HAN = "㐀-鿿豈-﫿"
 _WORD = re.compile(rf"[{_HAN}]+|[A-Za-zÀ-ɏ']+|\d+|\s+|.", re.S)
 
 
+@lru_cache(1 << 16)
 def shape(value: str) -> str:
     """The pattern of a value: runs of Han characters by length, words by case, figures, signs; decoration left out."""
     value = re.sub(rf"(?<=[{_HAN}])\s+(?=[{_HAN}，：])|(?<=[，：])\s+(?=[{_HAN}])", "", re.sub(r"[【】《》「」!！]|（[^）]*）$", "", value))
@@ -53,7 +56,7 @@ def shape(value: str) -> str:
         else:
             out.append("9" if run.isdigit() else " " if run.isspace() else run)
     text = "".join(out)
-    return re.sub(r"([,，、;；|/])\1+", r"\1", re.sub(r"(?:W ){3,}", "W* ", text))[:60]
+    return re.sub(r"([,，、;；|/])\1+", r"\1", re.sub(r"(?:W ){3,}", "W* ", text))
 
 
 def read_list(text: str) -> list[str] | None:
@@ -98,9 +101,8 @@ def lattices(text: str) -> list[tuple[frozenset, list[list[tuple[str, bool]]]]]:
     present = sorted({d for _, _, d in parts if d})
     # Next to a quoted span a delimiter always separates, and a line end or tab does everywhere.
     forced = {d for (_, q, d), (_, r, _) in zip(parts, parts[1:], strict=False) if (q or r) and d} | ({"\n", "\t"} & set(present))
-    sets = {frozenset(forced), frozenset(present)} | {frozenset(forced | {d}) for d in present}
-    if 2 < len(present) <= 5:
-        sets |= {frozenset(forced | {a, b}) for a in present for b in present}
+    free = sorted(set(present) - forced)
+    sets = {frozenset(forced.union(chosen)) for n in range(len(free) + 1) for chosen in combinations(free, n)}
     blank = any(" " in t.strip(BLANKS) or "　" in t.strip(BLANKS) for t, q, _ in parts if not q)
     few = len(present) <= 1
     out = []
@@ -121,7 +123,7 @@ def lattices(text: str) -> list[tuple[frozenset, list[list[tuple[str, bool]]]]]:
         out.append((chosen, [(p.strip(BLANKS), q) for p, q in pieces if p.strip(BLANKS)]))
         if blank and few and len(chosen) == len(present):
             spaced = [(w, False) for p, q in pieces if not q for w in re.split("[ 　 ]+", p.strip(BLANKS)) if w]
-            if not any(q for _, q in pieces) and len(spaced) <= 40:
+            if not any(q for _, q in pieces):
                 out.append((chosen | {" "}, spaced))
     return out
 
@@ -156,11 +158,17 @@ def edges(text: str) -> list[tuple[frozenset, list[tuple[int, int, str, bool]],
     return out
 
 
+@lru_cache(1 << 16)
+def _letters(value: str) -> tuple[int, int, int]:
+    """Han characters, other letters and delimiters of a value."""
+    han = len(re.findall(f"[{_HAN}]", value))
+    return han, len(re.findall(r"\w", value)) - han, sum(c in DELIMITERS for c in value)
+
+
 def price(value: str, count: float, total: float, shape_count: float, shapes: float) -> float:
     """Minus the log-probability of a value: counted values mixed with the model of shapes."""
-    han = len(re.findall(f"[{_HAN}]", value))
-    letters = len(re.findall(r"\w", value)) - han
-    pattern = math.log(shape_count / shapes) if shape_count > 0 else math.log(UNSEEN) - SIGN * sum(c in DELIMITERS for c in value)
+    han, letters, signs = _letters(value)
+    pattern = math.log(shape_count / shapes) if shape_count > 0 else math.log(UNSEEN) - SIGN * signs
     novel = pattern - HAN * han - LETTER * letters + math.log(NOVEL)
     if count <= 0:
         return -novel
@@ -170,13 +178,15 @@ def price(value: str, count: float, total: float, shape_count: float, shapes: fl
 
 def best(text: str, counts: dict[str, float], shapes: dict[str, float], total: float) -> list[str]:
     """The most probable segmentation of a field; ties go to the scheme with fewer delimiters."""
-    least, chosen_values = math.inf, []
+    least, chosen_values, prices = math.inf, [], {}
     for chosen, own, n in edges(text):
         size = len(chosen - {" "})
         start = -SCHEMES[min(size, len(SCHEMES) - 1)] - (SPACED if " " in chosen else 0.0)
         score, back = [start] + [math.inf] * n, [None] * (n + 1)
         for i, j, value, quoted in own:
-            cost = 0.0 if quoted else price(value, counts.get(value, 0.0), total, shapes.get(shape(value), 0.0), total)
+            if value not in prices:  # many schemes have the same pieces
+                prices[value] = price(value, counts.get(value, 0.0), total, shapes.get(shape(value), 0.0), total)
+            cost = 0.0 if quoted else prices[value]
             cost += score[i] + INSIDE * (j - i - 1) + (STRANGE if " " in chosen and counts.get(value, 0.0) <= 0 else 0.0)
             if cost < score[j]:
                 score[j], back[j] = cost, (i, value)
@@ -229,7 +239,8 @@ def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pattern in own_shapes:
                 shapes[pattern] = shapes.get(pattern, 0.0) - 1
             out.append(best((text or "").strip(BLANKS), counts, shapes, float(total or 1)))
-        yield batch[["row", "field", "text", "lookups"]].assign(values=out, shapes=[[shape(v) for v in vs] for vs in out])
+        moved = [list(own) != new for own, new in zip(batch["values"], out, strict=True)]
+        yield batch[["row", "field", "text", "lookups"]].assign(values=out, shapes=[[shape(v) for v in vs] for vs in out], moved=moved)
 
 
 def _tally(frame: DataFrame) -> DataFrame:
@@ -238,32 +249,53 @@ def _tally(frame: DataFrame) -> DataFrame:
     return frame.select("field", F.explode(named).alias("x")).groupBy("field", "x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def split(fields: DataFrame, rounds: int = 2) -> DataFrame:
+#: A name that more than one in OFTEN of all candidates look up is hot; there are at most OFTEN such names.
+OFTEN = 2000
+
+
+def _found(wanted: DataFrame, counts: DataFrame, hot: DataFrame) -> DataFrame:
+    """``wanted`` (row, field, kind, name) with the counts of their names, gathered by row and field.
+
+    A name that very many rows ask for is no key of the shuffle join: at most ``OFTEN`` such names are sent out.
+    """
+    name = ["field", "kind", "name"]
+    few = F.broadcast(counts.join(F.broadcast(hot), name, "left_semi"))
+    rest = wanted.join(F.broadcast(hot), name, "left_anti").join(counts, name)
+    return wanted.join(few, name).unionByName(rest).groupBy("row", "field").agg(F.collect_list(F.struct("kind", "name", "n")).alias("found"))
+
+
+def split(fields: DataFrame, rounds: int = 6, changed: float = 0.002) -> DataFrame:
     """Fields (row struct, field string, text string) as (row, field, item_count, item_no, item_value), one row a value.
 
-    Value frequencies are learned per ``field`` over all rows. ``item_no`` counts the non-empty values of a text from 1;
-    values are without outer blanks, quoting and escapes. Null and blank texts give no row; a text with one value gives
-    one row. Rows repeated exactly count once. ``row`` is carried through and must identify the text together with
-    ``field``. Very long texts are treated like short ones.
+    Value frequencies are learned per ``field`` over all rows, in rounds of expectation and maximisation until at most the
+    share ``changed`` of the ambiguous fields is split anew, or ``rounds`` are over. ``item_no`` counts the non-empty values of a
+    text from 1; values are without outer blanks, quoting and escapes. Null and blank texts give no row; a text with one
+    value gives one row. Rows repeated exactly count once. ``row`` is carried through and must identify the text together
+    with ``field``. Texts of any length and with any delimiters are treated alike: every set of the delimiters that a text
+    holds is tried.
     """
     checkpoint_dir(fields.sparkSession)
     texts = T.ArrayType(T.StringType())
     names = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType())]))
     base = fields.select("row", "field", "text")
     schema = T.StructType([*base.schema, T.StructField("values", texts), T.StructField("shapes", texts), T.StructField("lookups", names)])
-    solved = T.StructType([*base.schema, T.StructField("lookups", names), T.StructField("values", texts), T.StructField("shapes", texts)])
+    solved = T.StructType([*base.schema, T.StructField("lookups", names), T.StructField("values", texts), T.StructField("shapes", texts), T.StructField("moved", T.BooleanType())])
     read = base.where("trim(text) != ''").distinct().mapInPandas(_first, schema).checkpoint()
     sure, current = read.where("lookups is null"), read.where("lookups is not null")
     certain = _tally(sure).checkpoint()
+    wanted = current.select("row", "field", F.explode("lookups").alias("x")).select("row", "field", "x.kind", "x.name")
+    asked = wanted.groupBy("field", "kind", "name").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    hot = asked.where(F.col("n") > total / OFTEN).select("field", "kind", "name")
     for step in range(rounds):
         counts = certain.unionByName(_tally(current)).groupBy("field", "kind", "name").agg(F.sum("n").alias("n"))
         totals = counts.where("kind = 'v'").groupBy("field").agg(F.sum("n").alias("total"))
-        wanted = current.select("row", "field", F.explode("lookups").alias("x")).select("row", "field", "x.kind", "x.name")
-        found = wanted.join(counts, ["field", "kind", "name"]).groupBy("row", "field").agg(F.collect_list(F.struct("kind", "name", "n")).alias("found"))
+        found = _found(wanted, counts, hot)
         ready = current.join(found, ["row", "field"], "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType))).join(totals, "field", "left")
-        current = ready.mapInPandas(_viterbi, solved)
-        if step + 1 < rounds:
-            current = current.checkpoint()
+        current = ready.mapInPandas(_viterbi, solved).checkpoint()
+        n, moved = current.agg(F.count(F.lit(1)), F.sum(F.col("moved").cast("long"))).first()
+        if step and (moved or 0) <= changed * n:
+            break
     items = F.posexplode("values").alias("item_no", "item_value")
     both = sure.select("row", "field", "values").unionByName(current.select("row", "field", "values"))
     return both.select("row", "field", F.size("values").alias("item_count"), items).withColumn("item_no", F.col("item_no") + 1)

@@ -44,3 +44,14 @@ def test_read_list(text, values):
 def test_quoted_spans_are_atomic():
     assert packed.tokens('"a, b", c') == [("a, b", True, ","), (" c", False, "")]
     assert packed.tokens('say "hi" now') == [('say "hi" now', False, "")]
+
+
+def test_many_kinds_of_delimiters_and_many_blanks(spark):
+    kinds = "系统,重生；星际|美食、校园/武侠;冒险，仙侠"
+    spaced = " ".join(["星际", "校园", "武侠"] * 20)
+    assert found(spark, [kinds, spaced]) == [["系统", "重生", "星际", "美食", "校园", "武侠", "冒险", "仙侠"], ["星际", "校园", "武侠"] * 20]
+
+
+def test_a_hot_shape(spark):
+    rows = [((f"h{i}",), "tags", "系统、重生" if i % 2 else "星际,美食") for i in range(3000)]
+    assert packed.split(spark.createDataFrame(rows, SCHEMA)).count() == 6000
