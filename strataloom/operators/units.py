@@ -261,30 +261,36 @@ def convert(readings: DataFrame, piece: int = PIECE) -> DataFrame:
     stands alone, one without position comes last in its series. Ties are taken in the order of the row. Repeated rows are
     decoded as often as they occur. An empty input gives an empty result. The result doesn't depend on ``piece``.
     """
-    read = keep_filled(readings.withColumn("_p", parse(F.col("text"))), "_p")
+    cuts = _cuts(readings, piece).checkpoint()
+    # The cuts come first, so that the pass over cut series alone parses no other texts.
+    known = readings.join(cuts.withColumnRenamed("_series", "series"), "series", "left").withColumn("_cut", F.col("_cuts").isNotNull())
     alone = F.col("series").isNull()
-    flat = read.select(
-        F.struct("row", F.col("_p.number").alias("number")).alias("_row"),
+    placed = known.withColumn("_at", F.when(~alone, _place())).select(
+        "row",
         F.when(alone, F.sha2(F.to_json("row"), 256)).otherwise(F.col("series")).alias("_series"),
-        F.when(~alone, _place()).alias("_at"),
-        F.col("_p.number").cast("double").alias("_value"),
-        F.col("_p.unit").alias("_unit"),
+        "_at",
+        F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_at"))), F.lit(0)).alias("_piece"),
+        "_cut",
+        parse(F.col("text")).alias("_p"),
         F.col("documented").alias("_documented"),
         F.coalesce("source", F.lit("")).alias("_source"),
         (F.coalesce("spread", F.lit(SPREAD)) if "spread" in readings.columns else F.lit(SPREAD)).alias("_spread"),
     )
-    cuts = _cuts(readings, piece).checkpoint()
-    placed = flat.join(cuts, "_series", "left").withColumn("_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_at"))), F.lit(0))).withColumn("_cut", F.col("_cuts").isNotNull()).drop("_cuts")
+
+    def read(frame: DataFrame) -> DataFrame:
+        filled = keep_filled(frame, "_p").withColumns({"_row": F.struct("row", F.col("_p.number").alias("number")), "_value": F.col("_p.number").cast("double"), "_unit": F.col("_p.unit")})
+        return filled.select("_row", "_series", "_at", "_value", "_unit", "_documented", "_source", "_spread", "_piece")
+
+    small, cut = read(placed.where("not _cut")), read(placed.where("_cut"))
     by_piece = lambda frame: frame.repartition("_series", "_piece").sortWithinPartitions("_series", "_piece", "_at", "_row")
-    series = flat.schema["_series"]
+    series = small.schema["_series"]
     cell = [series, T.StructField("_piece", T.IntegerType())]
     real, text = T.DoubleType(), T.StringType()
     table = T.StructType([*cell, T.StructField("table", T.ArrayType(real)), T.StructField("head", real), T.StructField("tail", real), T.StructField("head_source", text), T.StructField("tail_source", text), T.StructField("spread", real)])
     bounds = T.StructType([*cell, T.StructField("_from", T.IntegerType()), T.StructField("_to", T.IntegerType())])
-    ends = by_piece(placed.where("_cut")).mapInPandas(_tables, table).groupBy("_series").applyInPandas(_chained, bounds)
-    small = placed.where("not _cut").withColumns({"_from": F.lit(-1), "_to": F.lit(-1)})
-    cut = placed.where("_cut").join(ends, ["_series", "_piece"])
-    decoded = by_piece(small.unionByName(cut)).mapInPandas(_decode, flat.select("_row", "_unit").schema)
+    ends = by_piece(cut).mapInPandas(_tables, table).groupBy("_series").applyInPandas(_chained, bounds)
+    both = small.withColumns({"_from": F.lit(-1), "_to": F.lit(-1)}).unionByName(cut.join(ends, ["_series", "_piece"]))
+    decoded = by_piece(both).mapInPandas(_decode, small.select("_row", "_unit").schema)
     factor = F.create_map(*[x for name, size in UNITS.items() for x in (F.lit(name), F.lit(str(size)).cast("decimal(12,2)"))])
     count = F.floor(F.col("_row.number") * F.element_at(factor, F.col("_unit"))).try_cast("bigint")
     return decoded.select(F.col("_row.row").alias("row"), count.alias("char_count"), F.col("_unit").alias("unit")).where("char_count is not null")
