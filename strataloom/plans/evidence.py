@@ -186,7 +186,8 @@ def d8_windows(spark: SparkSession, folder: str) -> DataFrame:
 _AUX = scalars.AUXILIARY
 _ROLE = (
     "CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in scalars.NOT_ENDINGS) + " THEN NULL "
-    + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in scalars.ENDINGS) + " END"
+    + " ".join(f"WHEN {' OR '.join(f"contains(t, '{w}')" for w in words)} THEN '{n}'" for n, words in scalars.ENDINGS.items())
+    + " WHEN regexp_replace(rtrim(regexp_replace(t, '\\[VIP\\]$', ''), '!！。 '), '^[0-9]+[ .、]*', '') = '完结' THEN 'ending_marker_update' END"
 )
 D4 = f"""WITH r AS (SELECT DISTINCT platform || ':' || work_id AS work_key, TRY_CAST(chapter_number AS BIGINT) AS n, chapter_title, publication_date, update_date, chapter_number,
  coalesce(trim(regexp_replace(chapter_title, '[\\s\\x{{00a0}}\\x{{3000}}]+', ' ', 'g')), '') AS t FROM chapters),

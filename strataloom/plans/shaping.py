@@ -163,10 +163,12 @@ def f5(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "source_observation", "date_raw").where("date_raw is not null").distinct().select(c, dates.year_of(c).alias("year"), dates.is_timestamp(c).alias("full"))
 
 
-@query("f06_date_value", """WITH d AS (SELECT DISTINCT date_raw, regexp_extract(date_raw, '(?:^|[^0-9])((?:19|20)[0-9]{2})[-/年]([0-9]{1,2})[-/月]([0-9]{1,2})(?:日)?(?:[ T]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?', ['y', 'm', 'd', 'h', 'i', 's']) AS g FROM source_observation WHERE date_raw IS NOT NULL),
-v AS (SELECT date_raw, g, g.y || '-' || lpad(g.m, 2, '0') || '-' || lpad(g.d, 2, '0') AS day FROM d)
-SELECT date_raw, CASE WHEN g.y = '' THEN NULL WHEN g.h <> '' THEN CASE WHEN TRY_CAST(day || ' ' || lpad(g.h, 2, '0') || ':' || g.i || ':' || CASE WHEN g.s = '' THEN '00' ELSE g.s END AS TIMESTAMP) IS NOT NULL THEN day || ' ' || lpad(g.h, 2, '0') || ':' || g.i || ':' || CASE WHEN g.s = '' THEN '00' ELSE g.s END END
-WHEN TRY_CAST(day AS DATE) IS NOT NULL THEN day END AS value FROM v""")
+_DAY, _TIME = "(?:19|20)[0-9]{2}[-/年][0-9]{1,2}[-/月][0-9]{1,2}", "[ T]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
+
+
+@query("f06_date_value", f"""WITH d AS (SELECT DISTINCT date_raw, regexp_extract_all(regexp_extract(date_raw, '(?:^|[^0-9])({_DAY}日?(?:{_TIME})?)', 1), '[0-9]+') AS n FROM source_observation WHERE date_raw IS NOT NULL),
+v AS (SELECT date_raw, len(n) AS k, printf('%s-%02d-%02d', n[1], n[2]::INTEGER, n[3]::INTEGER) AS day, printf('%02d:%02d:%02d', n[4]::INTEGER, n[5]::INTEGER, coalesce(n[6], '0')::INTEGER) AS clock FROM d)
+SELECT date_raw, CASE WHEN k >= 4 AND TRY_CAST(day || ' ' || clock AS TIMESTAMP) IS NOT NULL THEN day || ' ' || clock WHEN k = 3 AND TRY_CAST(day AS DATE) IS NOT NULL THEN day END AS value FROM v""")
 def f6(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col("date_raw")
     return table(spark, folder, "source_observation", "date_raw").where("date_raw is not null").distinct().select(c, dates.date_value(c).alias("value"))
