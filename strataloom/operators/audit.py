@@ -80,3 +80,9 @@ def profile(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column: rows, filled values, different values, least and greatest as text. One pass over the table."""
     parts = [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(filled(F.col(c))).alias("filled"), F.countDistinct(c).alias("distinct"), F.min(F.col(c).cast("string")).alias("least"), F.max(F.col(c).cast("string")).alias("greatest")) for c in columns]
     return frame.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("e")).select("e.*")
+
+
+def rules(frame: DataFrame, name: str, checks: dict[str, Column]) -> DataFrame:
+    """Many rules over one table in one pass: (check, passed, n) for each; a null answer breaks a rule."""
+    broken = [F.struct(F.lit(f"rule:{name}.{c}").alias("check"), F.count_if(~F.coalesce(r, F.lit(False))).alias("n")) for c, r in checks.items()]
+    return frame.agg(F.array(*broken).alias("c")).select(F.explode("c").alias("c")).select("c.check", (F.col("c.n") == 0).alias("passed"), "c.n")

@@ -157,6 +157,59 @@ def issue_date(html: str, cell: str) -> str | None:
     return found.pop() if len(found) == 1 else None
 
 
+def next_page(root: Node, words: tuple[str, ...] = ("下一页", "next")) -> str | None:
+    """The address behind the link to the next page; None on the last one."""
+    return next((a.attributes.get("href") for a in root.all("a") if a.text().lower() in words), None)
+
+
+def choices(root: Node, name: str) -> list[str]:
+    """The filled values that a drop-down list of a name offers, in order."""
+    return [o.attributes["value"] for s in root.all("select", name=name) for o in s.all("option") if o.attributes.get("value")]
+
+
+CATALOG = ("id", "title", "author", "genre", "status", "words", "date")
+
+
+def catalog_page(html: str) -> list[dict]:
+    """The works of a catalogue page, from rows of seven cells, with the page's number, its next page and the years it can be filtered by."""
+    root, (page, pages) = tree(html), page_position(html)
+    common = {"page": page, "pages": pages, "next": next_page(root), "years": ",".join(choices(root, "year"))}
+    return [dict(zip(CATALOG, cells, strict=True)) | common for cells in table_rows(html, len(CATALOG))]
+
+
+def detail_page(html: str) -> list[dict]:
+    """A work's own page: heading, labelled fields and chapters, from a table of (number, title, date) or else from cards."""
+    root = tree(html)
+    heading = next((h.text() for h in root.all("h1")), None)
+    labelled = dict(re.split(r"\s*[：:]\s*", li.text(), maxsplit=1) for li in root.all("li") if re.search("[：:]", li.text()))
+    chapters = table_rows(html, 3) or [[card.attributes.get("data-number", ""), card.text(), card.attributes.get("title", "")] for card in root.all("a", class_="chapter")]
+    out = {"title": heading, "author": labelled.get("作者"), "status": labelled.get("状态"), "genre": labelled.get("类型")}
+    return [out | {"number": n, "chapter": t, "date": d} for n, t, d in chapters] if heading else []
+
+
+RANK = ("place", "id", "title", "author", "genre", "status", "words", "points")
+
+
+def rank_page(html: str) -> list[dict]:
+    """The entries of a ranking, from rows of eight cells, with the moment that the page says it was made."""
+    made = re.search(r"更新时间\D{0,3}(\d{4}-\d\d-\d\d \d\d:\d\d)", tree(html).text())
+    return [dict(zip(RANK, cells, strict=True)) | {"made": made[1] if made else None} for cells in table_rows(html, len(RANK))]
+
+
+def issue_page(html: str) -> list[dict]:
+    """The books of an editorial issue, with the issue's date where exactly one stands outside the books."""
+    date = issue_date(html, "book")
+    return [{"id": key, "title": text, "issued": date} for key, text in links(html, r"/book/(\w+)$")]
+
+
+def asked_object(html: str, kinds: tuple[str, ...], asked: str) -> list[dict]:
+    """The JSON-LD object of a page whose id is the one asked for; nothing where the page is another's or contradicts itself."""
+    try:
+        return [o for o in json_ld(html, kinds) if str(o.get("@id")) == asked]
+    except ValueError:
+        return []
+
+
 def parse(frame: DataFrame, html: str, parser: Callable[[str], list[dict]], schema: str, keep: tuple[str, ...]) -> DataFrame:
     """One row for every record that ``parser`` finds in a page, with the page's ``keep`` columns first.
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import oracle
 import pytest
 
-from strataloom.plans import evidence, further, joining, problems, shaping
+from strataloom.plans import completing, evidence, further, jobs, joining, problems, shaping
 
-MODULES = (problems, evidence, joining, shaping, further)
+MODULES = (problems, evidence, joining, shaping, further, jobs, completing)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
