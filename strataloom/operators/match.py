@@ -28,8 +28,13 @@ def title_links(records: DataFrame, works: DataFrame, crosswalk: DataFrame) -> D
     normalised. crosswalk: (alias, work). One work must remain; then an author, the crosswalk or nothing confirms it.
     """
     names = records.select("record", "platform", F.explode(F.array_distinct("names")).alias("title")).where("title != ''")
-    hits = names.alias("r").join(works.where("title != ''").alias("w"), "title").where("r.platform is null or r.platform = w.platform")
-    each = hits.groupBy("record").agg(F.countDistinct("work").alias("n"), F.min("work").alias("work"))
+    # Works are counted by title before they meet the records, on their platform and over all, so a title that fills both
+    # tables gives one row a record. least and greatest tell whether several names of a record lead to one work.
+    named = works.where("title != ''")
+    own = named.groupBy("title", "platform").agg(F.min("work").alias("least"), F.max("work").alias("greatest"))
+    every = named.groupBy("title").agg(F.min("work").alias("least"), F.max("work").alias("greatest"))
+    hits = names.where("platform is not null").join(own, ["title", "platform"]).select("record", "least", "greatest").unionByName(names.where("platform is null").join(every, "title").select("record", "least", "greatest"))
+    each = hits.groupBy("record").agg(F.min("least").alias("work"), F.max("greatest").alias("last")).withColumn("n", F.when(F.col("work") == F.col("last"), 1).otherwise(2)).drop("last")
     writer = works.select("work", "author").dropDuplicates(["work"])
     known = crosswalk.select("alias", F.col("work")).distinct().withColumn("_x", F.lit(True))
     one = records.join(each, "record", "left").join(writer, "work", "left").join(known, ["alias", "work"], "left")

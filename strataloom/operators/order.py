@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.session import checkpoint_dir
+
 
 def numbered(frame: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
     """Rows numbered from 0 in a total order without moving all rows to one task.
 
-    The rows are sorted by range; each partition's size, one number a partition, gives the offset of the next.
+    The rows are sorted by range; each partition's size, one number a partition, gives the offset of the next. The sorted
+    rows are written to the shared folder first: their numbers rest on one evaluation, whatever is lost or computed again.
     """
-    ranged = frame.sort(*order).withColumn("_p", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    placed = ranged.withColumn(out, local)
+    checkpoint_dir(frame.sparkSession)
+    placed = frame.sort(*order).select("*", F.spark_partition_id().alias("_p"), (F.monotonically_increasing_id() % (1 << 33)).alias(out)).checkpoint()
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offset = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return placed.join(offset, "_p").withColumn(out, F.col(out) + F.col("_o")).drop("_p", "_o")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import dates, scalars
@@ -66,13 +66,28 @@ def j6(spark: SparkSession, folder: str) -> DataFrame:
     return match.unique_match(records, table(spark, folder, "work_master", "work_key", "title", "author"), ["title", "author"], "work_key").select("legacy_id", "matches", "work_key")
 
 
-@query("j07_title_links")
+#: Names are compared in lower case without anything but letters and figures, which both engines do alike.
+_PLAIN = "lower(regexp_replace(coalesce({}, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+
+
+def _plain_name(c: str) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\p{L}\p{N}]+", ""))
+
+
+@query("j07_title_links", f"""WITH r AS (SELECT external_key AS record, source_platform AS platform, start_year_reported AS alias, list_transform(string_split(coalesce(title, '') || ';' || coalesce(associated_names, ''), ';'), lambda x: {_PLAIN.format("x")}) AS names, list_transform(string_split(coalesce(authors, ''), ';'), lambda x: {_PLAIN.format("x")}) AS authors FROM external_bibliography),
+w AS (SELECT work_key AS work, {_PLAIN.format("title")} AS title, {_PLAIN.format("author")} AS author, platform, platform_declared_pub_year AS year FROM work_master),
+n AS (SELECT DISTINCT record, platform, title FROM (SELECT record, platform, unnest(names) AS title FROM r) WHERE title <> ''),
+h AS (SELECT n.record, w.work FROM n JOIN w ON n.title = w.title AND (n.platform IS NULL OR n.platform = w.platform)),
+e AS (SELECT record, count(DISTINCT work) AS n, min(work) AS work FROM h GROUP BY 1)
+SELECT r.record, CASE WHEN e.n IS NULL THEN 'not_matched' WHEN e.n > 1 THEN 'ambiguous_title' WHEN w.author <> '' AND list_contains(authors, w.author) THEN 'exact_title_author' WHEN alias = w.year THEN 'dual_title_crosswalk' ELSE 'unique_title_only_candidate' END AS how, CASE WHEN e.n = 1 THEN e.work END AS work FROM r LEFT JOIN e USING (record) LEFT JOIN w ON e.work = w.work""")
 def j7(spark: SparkSession, folder: str) -> DataFrame:
-    """Legacy records linked by normalised title, then author or platform crosswalk."""
-    records = table(spark, folder, "legacy_bibliography", "legacy_id", "title", "author", "platform")
-    shaped = records.select(F.col("legacy_id").alias("record"), F.array(scalars.normal_name(F.coalesce("title", F.lit("")))).alias("names"), F.array(scalars.normal_name(F.coalesce("author", F.lit("")))).alias("authors"), "platform", F.lit("").alias("alias"))
-    works = table(spark, folder, "work_master", "work_key", "title", "author", "platform").select(F.col("work_key").alias("work"), scalars.normal_name(F.coalesce("title", F.lit(""))).alias("title"), scalars.normal_name(F.coalesce("author", F.lit(""))).alias("author"), "platform")
-    return match.title_links(shaped, works, works.select(F.lit("-").alias("alias"), "work").limit(0))
+    """External records linked by any of their names, then confirmed by an author or by a crosswalk of years."""
+    records = table(spark, folder, "external_bibliography", "external_key", "title", "associated_names", "authors", "source_platform", "start_year_reported")
+    parts = lambda *columns: F.transform(F.split(F.concat_ws(";", *[F.coalesce(F.col(c), F.lit("")) for c in columns]), ";"), lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]+", "")))
+    shaped = records.select(F.col("external_key").alias("record"), parts("title", "associated_names").alias("names"), parts("authors").alias("authors"), F.col("source_platform").alias("platform"), F.col("start_year_reported").cast("string").alias("alias"))
+    works = table(spark, folder, "work_master", "work_key", "title", "author", "platform", "platform_declared_pub_year")
+    named = works.select(F.col("work_key").alias("work"), _plain_name("title").alias("title"), _plain_name("author").alias("author"), "platform")
+    return match.title_links(shaped, named, works.select(F.col("platform_declared_pub_year").cast("string").alias("alias"), F.col("work_key").alias("work")))
 
 
 @query("j08_crosswalk", """WITH c AS (SELECT author, author_id, count(*) OVER (PARTITION BY author) AS n FROM (SELECT DISTINCT author, author_id FROM work_master))

@@ -195,9 +195,10 @@ def f12(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("f14_normal_name")
 def f14(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles that become equal when normalised."""
+    """Every title under its normal name, with the number of spellings that share it."""
     titles = table(spark, folder, "legacy_bibliography", "title").dropna().distinct().withColumn("name", scalars.normal_name(F.col("title")))
-    return titles.groupBy("name").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1")
+    spellings = titles.groupBy("name").agg(F.count(F.lit(1)).alias("spellings"))
+    return titles.join(spellings, "name").select("title", "name", "spellings")
 
 
 @query("f15_url_parts", "SELECT work_url, regexp_extract(work_url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(work_url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM work_master WHERE work_url IS NOT NULL")
@@ -213,18 +214,12 @@ def f16(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("conflict_id", scalars.without_query_keys(url, "token|session|key").alias("url"))
 
 
-@query("f17_canonical_json", """SELECT work_key, '{"author":' || coalesce('"' || author || '"', 'null') || ',"title":' || coalesce('"' || title || '"', 'null') || '}' AS j FROM work_master WHERE NOT coalesce(regexp_matches(title || author, '["\\\\/]'), false)""")
+@query("f17_canonical_json", "SELECT work_key, to_json(struct_pack(author := author, title := title))::VARCHAR AS j FROM work_master")
 def f17(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "work_master", "work_key", "title", "author").where(r"not coalesce(concat(title, author) rlike '[\"\\\\/]', false)")
+    rows = table(spark, folder, "work_master", "work_key", "title", "author")
     return rows.select("work_key", scalars.canonical_json(title=F.col("title"), author=F.col("author")).alias("j"))
 
 
-@query("f17_canonical_json_whole")
-def f17_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """The canonical JSON of every work, with those whose names need escaping."""
-    return table(spark, folder, "work_master", "work_key", "title", "author").select("work_key", scalars.canonical_json(title=F.col("title"), author=F.col("author")).alias("j"))
-
-
 @query("f19_identity", "SELECT observation_id, sha256(source_id || chr(31) || row_locator) AS id FROM source_observation WHERE source_id IS NOT NULL AND row_locator IS NOT NULL")
 def f19(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "source_observation", "observation_id", "source_id", "row_locator").dropna().select("observation_id", scalars.identity(F.col("source_id"), F.col("row_locator")).alias("id"))
