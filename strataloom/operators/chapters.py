@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions import scalars
+from strataloom.operators.order import preceding
 
 #: Share of the ordinals after which an ending title counts.
 LATE = 0.60
@@ -75,6 +76,5 @@ def windows(rows: DataFrame, work: str, position: str, title: str, volume: Colum
 
 def islands(rows: DataFrame, key: str, position: str, flag: str) -> DataFrame:
     """(key, start, end, length) of every run of flagged rows in a row."""
-    order = Window.partitionBy(key).orderBy(position)
-    grouped = rows.withColumn("_g", F.sum(F.when(F.col(flag), 0).otherwise(1)).over(order)).where(F.col(flag))
+    grouped = preceding(rows, [key], position, F.when(F.col(flag), 0).otherwise(1), F.sum, "_g").withColumn("_g", F.coalesce("_g", F.lit(0))).where(F.col(flag))
     return grouped.groupBy(key, "_g").agg(F.min(position).alias("start"), F.max(position).alias("end"), F.count(F.lit(1)).alias("length")).drop("_g")

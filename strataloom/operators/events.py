@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.order import preceding
+
 
 def since_reset(events: DataFrame, groups: Sequence[str], order: str, reset: Column) -> DataFrame:
     """Events after the last reset of their group. The barrier is a grouped maximum, joined back."""
@@ -34,11 +36,10 @@ def reservations(requests: DataFrame, platform: str, order: str, now: str, delay
     The recurrence slot = max(now, next, blocked), next = slot + delay is a prefix maximum: with P the sum of the delays
     before a request, slot - P is the running maximum of max(now, blocked) - P.
     """
-    w = Window.partitionBy(platform).orderBy(order)
-    before = F.coalesce(F.sum(delay).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    with_sum = requests.withColumn("_p", before)
+    with_sum = preceding(requests, [platform], order, F.col(delay).cast("double"), F.sum, "_p").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
     ready = F.greatest(F.col(now), F.coalesce(F.col(blocked), F.col(now))) - F.col("_p")
-    return with_sum.withColumn("slot", F.max(ready).over(w) + F.col("_p")).drop("_p")
+    with_ready = preceding(with_sum.withColumn("_r", ready), [platform], order, F.col("_r"), F.max, "_m")
+    return with_ready.withColumn("slot", F.greatest("_r", "_m") + F.col("_p")).drop("_p", "_r", "_m")
 
 
 def latest_state(events: DataFrame, job: str, order: str, columns: Sequence[str]) -> DataFrame:
@@ -48,8 +49,9 @@ def latest_state(events: DataFrame, job: str, order: str, columns: Sequence[str]
 
 def streaks(events: DataFrame, group: str, order: str, bad: Column) -> DataFrame:
     """(group, longest, current): the longest run of bad events and the run that is still going on."""
-    w = Window.partitionBy(group).orderBy(order)
-    marked = events.withColumn("_b", bad).withColumn("_g", F.sum(F.when(F.col("_b"), 0).otherwise(1)).over(w))
+    # A run is named by the number of good events before it; a good event closes the run that stands before it.
+    flagged = events.withColumn("_b", F.coalesce(bad, F.lit(False)))
+    marked = preceding(flagged, [group], order, F.when(F.col("_b"), 0).otherwise(1), F.sum, "_g").withColumn("_g", F.coalesce("_g", F.lit(0)) + F.when(F.col("_b"), 0).otherwise(1))
     runs = marked.groupBy(group, "_g").agg(F.count_if("_b").alias("n"))
     return runs.groupBy(group).agg(F.max("n").alias("longest"), F.max_by("n", "_g").alias("current"))
 

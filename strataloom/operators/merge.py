@@ -3,16 +3,18 @@
 Each policy is its own function: they disagree on purpose about nulls, ties and which value wins. ``key`` names the
 columns of an entity, ``seq`` the arrival number (unique within a key) and ``ts`` the time of an observation. Results
 are derived from the whole log by grouped aggregation (partial on the map side, so a key that holds a third of all
-rows costs no single task its rows); only conflicts, which depend on arrival order, use a window over a key.
+rows costs no single task its rows); conflicts, which depend on arrival order, take running maxima in blocks of that order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.order import preceding
+
 
 def filled(c: Column) -> Column:
     """Whether a value is neither null nor blank."""
@@ -69,17 +71,15 @@ def newest_wins_conflicts(log: DataFrame, key: Sequence[str], seq: str, ts: str,
     The current value is the one at that moment, so the result depends on the order of arrival.
     """
     entry = F.struct(F.col(ts).alias("t"), (-F.col(seq)).alias("s"), F.col(field).cast("string").alias("v"), (F.col(field) if canon is None else canon).cast("string").alias("c"))
-    before = Window.partitionBy(*key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    seen = log.where(filled(F.col(field))).withColumn("_e", entry).withColumn("_p", F.max("_e").over(before))
+    seen = preceding(log.where(filled(F.col(field))).withColumn("_e", entry), key, seq, F.col("_e"), F.max, "_p")
     return seen.where((F.col("_p.t") == F.col("_e.t")) & (F.col("_p.c") != F.col("_e.c"))).select(*key, seq, F.col("_p.v").alias("value_retained"), F.col("_e.v").alias("value_alternative"))
 
 
 def sticky_newest(log: DataFrame, key: Sequence[str], seq: str, ts: str, value: str, canon: Column) -> DataFrame:
     """(key, value, last_ts): the newest value, but in the spelling in which its run of equivalent values began."""
-    order = Window.partitionBy(*key).orderBy(seq)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    records = log.where(filled(F.col(value))).withColumn("_m", F.max(ts).over(before)).where(f"_m is null or {ts} > _m")
-    marked = records.withColumn("_c", canon).withColumn("_new", (~F.col("_c").eqNullSafe(F.lag("_c").over(order))).cast("int"))
+    records = preceding(log.where(filled(F.col(value))), key, seq, F.col(ts), F.max, "_m").where(f"_m is null or {ts} > _m").withColumn("_c", canon)
+    # The greatest (number, value) before a row is the row just before it.
+    marked = preceding(records, key, seq, F.struct(F.col(seq).alias("s"), F.col("_c").alias("c")), F.max, "_l").withColumn("_new", (~F.col("_c").eqNullSafe(F.col("_l.c"))).cast("int"))
     return marked.groupBy(*key).agg(F.max(F.when(F.col("_new") == 1, F.struct(F.col(seq).alias("s"), F.col(value).alias("v"))))["v"].alias(value), F.max(ts).alias("last_ts"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,3 +72,25 @@ def two_tiers(frame: DataFrame, urgent: Column, by_urgent: Sequence[Column], by_
 def slots(backlog: Column, base: Column, most: int = 20) -> Column:
     """Slots of the larger class for one of the smaller: the backlog's ratio, between 1 and ``most``."""
     return F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(backlog / F.greatest(F.lit(1), base)))).cast("int")
+
+
+#: Width, in units of the order, of the blocks that a running aggregate is taken in.
+BLOCK = 1 << 16
+
+
+def preceding(frame: DataFrame, keys: Sequence[str], order: str, value: Column, total: Callable[[Column], Column], out: str, block: int = BLOCK) -> DataFrame:
+    """``frame`` with ``out``: ``total`` (sum or max) of ``value`` over the rows of the keys that stand before in ``order``, a number.
+
+    Null for the first row of its keys; rows of equal ``order`` stand in no defined order. Two steps, so that one key may
+    hold a third of all rows: within blocks of the order, and over the blocks' totals, one row a block. Null keys are a
+    group of their own.
+    """
+    whole = Window.unboundedPreceding
+    names = [f"_pre_k{i}" for i in range(len(keys))]
+    # Keys by which both sides meet: a null is told apart from every text.
+    keyed = frame.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for n, k in zip(names, keys, strict=True)}).withColumns({"_pre_b": F.floor(F.col(order) / block), "_pre_v": value})
+    blocks = keyed.groupBy(*names, "_pre_b").agg(total(F.col("_pre_v")).alias("_pre_t"))
+    before = blocks.withColumn("_pre_before", total(F.col("_pre_t")).over(Window.partitionBy(*names).orderBy("_pre_b").rowsBetween(whole, -1))).drop("_pre_t")
+    local = keyed.withColumn("_pre_local", total(F.col("_pre_v")).over(Window.partitionBy(*names, "_pre_b").orderBy(order).rowsBetween(whole, -1)))
+    both = F.coalesce(F.col("_pre_local") + F.col("_pre_before"), "_pre_local", "_pre_before") if total is F.sum else F.when(F.col("_pre_local").isNull() | (F.col("_pre_before") > F.col("_pre_local")), F.coalesce("_pre_before", "_pre_local")).otherwise(F.col("_pre_local"))
+    return local.join(before, [*names, "_pre_b"]).withColumn(out, both).drop(*names, "_pre_b", "_pre_v", "_pre_local", "_pre_before")

@@ -58,11 +58,11 @@ def s6(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a list of books each."""
     path = files.scratch(spark, "json")
     works = table(spark, folder, "works", "platform", "work_id").where("work_id is not null")
-    per = works.groupBy(F.pmod(F.xxhash64("work_id"), F.lit(64)).alias("b")).agg(F.collect_list(F.struct("platform", "work_id")).alias("books"))
+    # About a thousand books a document, however many there are.
+    books = max(1, works.count() // 1000)
+    per = works.groupBy(F.pmod(F.xxhash64("platform", "work_id"), F.lit(books)).alias("b")).agg(F.collect_list(F.struct("platform", "work_id")).alias("books"))
     per.select(F.to_json(F.struct("books")).alias("value")).write.text(path)
-    element = T.StructType([T.StructField(c, T.StringType()) for c in works.columns])
-    text = spark.read.text(path)
-    return text.select(F.explode(F.from_json("value", T.StructType([T.StructField("books", T.ArrayType(element))])).getField("books")).alias("r")).select("r.*")
+    return files.read_json_document(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in works.columns]), "books", lines=True)
 
 
 @query("s16_snapshot", "SELECT 'dates' AS name, count(*) AS rows FROM work_dates UNION ALL SELECT 'works', count(*) FROM works")

@@ -59,9 +59,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, malfor
     return spark.read.schema(kept).option("mode", mode).json(path)
 
 
-def read_json_document(spark: SparkSession, path: str, element: T.StructType, field: str | None = None) -> DataFrame:
-    """Rows of JSON documents that are a list, an object with a list in ``field``, or an object of objects."""
-    text = spark.read.option("wholetext", True).text(path).select("value")
+def read_json_document(spark: SparkSession, path: str, element: T.StructType, field: str | None = None, lines: bool = False) -> DataFrame:
+    """Rows of JSON documents that are a list, an object with a list in ``field``, or an object of objects; a document is a file, or with ``lines`` a line."""
+    text = spark.read.option("wholetext", not lines).text(path).select("value")
     value = F.get_json_object("value", f"$.{field}") if field else F.col("value")
     kind = element.simpleString()
     listed = F.from_json(value, f"array<{kind}>")

@@ -151,15 +151,44 @@ def test_split_composite(spark):
     assert [tuple(r) for r in row] == [("a", "b", "c", None), (None,) * 4]
 
 
-def test_whole_tables_where_the_sql_has_a_part(spark, tmp_path):
+def test_names_to_be_escaped_and_every_user(spark, tmp_path):
     import json
 
     from strataloom.plans import further, shaping
 
     works = [("a", 'Say "N/A"', "x\\y"), ("b", None, "plain"), ("c", "t/u", None)]
     spark.createDataFrame(works, "work_key string, title string, author string").write.parquet(f"{tmp_path}/work_master.parquet")
-    found = {r.work_key: json.loads(r.j) for r in shaping.QUERIES["f17_canonical_json_whole"](spark, str(tmp_path)).collect()}
+    found = {r.work_key: json.loads(r.j) for r in shaping.QUERIES["f17_canonical_json"](spark, str(tmp_path)).collect()}
     assert found == {k: {"author": author, "title": title} for k, title, author in works}
     events = [(1, "error", 3, "1"), (2, "error", 4, "x1"), (3, "error", 5, "x"), (4, "view", 3, "1")]
     spark.createDataFrame(events, "event_id long, event_type string, user_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
-    assert {r.event_id for r in further.QUERIES["t15_requeued_whole"](spark, str(tmp_path)).collect()} == {1, 2}
+    assert {r.event_id for r in further.QUERIES["t15_requeued"](spark, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_running_aggregates_in_blocks_equal_one_window(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    draw = random.Random(6)
+    rows = [(draw.choice(["a", "b", None]), i * 7 - 300, draw.choice([None, 1.0, 2.5, -3.0])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k string, o long, v double")
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    for total in (F.sum, F.max):
+        want = {r.o: r.x for r in frame.withColumn("x", total("v").over(w)).collect()}
+        got = {r.o: r.x for r in order.preceding(frame, ["k"], "o", F.col("v"), total, "x", block=100).collect()}
+        assert got == want
+    assert order.preceding(frame.limit(0), ["k"], "o", F.col("v"), F.sum, "x").count() == 0
+
+
+def test_numbered_in_many_partitions(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(7)
+    found = order.numbered(rows, ["v"], "n").where("n != v").count()
+    assert found == 0
+
+
+def test_a_record_with_several_names_of_one_work(spark):
+    records = spark.createDataFrame([("r", ["a", "b"], ["x"], None, "1"), ("s", ["a"], [], "p", "2"), ("t", ["c"], [], "q", None), ("u", ["c"], [], None, "7"), ("v", [], [], None, None)], "record string, names array<string>, authors array<string>, platform string, alias string")
+    works = spark.createDataFrame([("w1", "a", "x", "p"), ("w1", "b", "x", "p"), ("w2", "c", "", "p"), ("w2", "c", "", "q"), ("w3", "c", "", "p")], "work string, title string, author string, platform string")
+    found = {r.record: (r.how, r.work) for r in match.title_links(records, works, spark.createDataFrame([("2", "w1")], "alias string, work string")).collect()}
+    assert found == {"r": ("exact_title_author", "w1"), "s": ("dual_title_crosswalk", "w1"), "t": ("unique_title_only_candidate", "w2"), "u": ("ambiguous_title", None), "v": ("not_matched", None)}
