@@ -179,6 +179,11 @@ def has_repeated_keys(json_object: Column) -> Column:
     return F.size(keys) != F.size(F.array_distinct(keys))
 
 
+def strict_object(c: Column, schema: str) -> Column:
+    """A JSON object read by its schema; null where it is no object or repeats a key, so that no value is silently lost."""
+    return F.when(~F.coalesce(has_repeated_keys(c), F.lit(True)), F.from_json(c, schema))
+
+
 def literal_list(c: Column) -> Column:
     """The values of a list written in Python or JSON notation, or of a single text."""
     quoted = F.regexp_replace(F.trim(c), "'", '"')

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import sqlite3
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,16 +72,58 @@ def read_json_document(spark: SparkSession, path: str, element: T.StructType, fi
     return text.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of a small SQLite file, read-only, all columns text. The file is read by the driver: for catalogues, not for data at scale."""
+def sqlite_tables(path: str) -> list[str]:
+    """The tables and views of an SQLite file, its own left out."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as connection:
-        known = {r[0] for r in connection.execute("select name from sqlite_master where type in ('table', 'view')")}
-        if table not in known:
-            raise ValueError(f"no table {table!r}; there are {sorted(known)}")
-        cursor = connection.execute(f'select * from "{table}"')
-        names = [d[0] for d in cursor.description]
-        rows = [tuple(None if v is None else str(v) for v in r) for r in cursor]
-    return spark.createDataFrame(rows, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        return sorted(r[0] for r in connection.execute("select name from sqlite_master where type in ('table', 'view') and name not like 'sqlite_%'"))
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, slice_rows: int = 100_000) -> DataFrame:
+    """A table of an SQLite file that all executors can reach, read-only, all columns text.
+
+    The driver asks for the columns and the greatest row number only; each task reads one range of row numbers. Views and
+    tables without row numbers are one range.
+    """
+    known = sqlite_tables(path)
+    if table not in known:
+        raise ValueError(f"no table {table!r}; there are {known}")
+    quoted = '"' + table.replace('"', '""') + '"'
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as connection:
+        names = [d[0] for d in connection.execute(f"select * from {quoted} limit 0").description]
+        try:
+            low, high = connection.execute(f"select min(rowid), max(rowid) from {quoted}").fetchone()
+        except sqlite3.OperationalError:
+            low = high = None
+    ranges = [(i, min(i + slice_rows - 1, high)) for i in range(low, high + 1, slice_rows)] if low is not None else [(None, None)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first, last in zip(batch["first"], batch["last"], strict=True):
+                where, bounds = ("", ()) if pd.isna(first) else (" where rowid between ? and ?", (int(first), int(last)))
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as connection:
+                    cursor = connection.execute(f"select * from {quoted}{where}", bounds)
+                    while rows := cursor.fetchmany(10_000):
+                        yield pd.DataFrame([[None if v is None else str(v) for v in r] for r in rows], columns=names, dtype=object)
+
+    spots = spark.createDataFrame(ranges, "first long, last long").repartition(min(len(ranges), 1000))
+    return spots.mapInPandas(work, schema)
+
+
+def read_sqlite_folder(spark: SparkSession, folder: str, pattern: str = "*.sqlite") -> dict[str, DataFrame]:
+    """Every table of the SQLite files under a folder, by name; files that are byte for byte copies of another are read once.
+
+    Tables of one name are united by column names, with ``source_file``.
+    """
+    found = manifest(spark, folder, pattern)
+    first = found.groupBy("sha256").agg(F.min("path").alias("path")).orderBy("path").collect()  # one row a file
+    out: dict[str, DataFrame] = {}
+    for row in first:
+        path = str(local_path(row.path))
+        for name in sqlite_tables(path):
+            frame = read_sqlite(spark, path, name).withColumn("source_file", F.lit(Path(path).name))
+            out[name] = out[name].unionByName(frame, allowMissingColumns=True) if name in out else frame
+    return out
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -101,8 +145,15 @@ def verified(found: DataFrame, log: DataFrame) -> DataFrame:
     return found.join(good, found["name"] == good["file"], "left").withColumn("is_verified", F.coalesce(F.col("sha256") == F.col("expected"), F.lit(False))).drop("file")
 
 
-def write_csv(frame: DataFrame, path: str, order: Sequence[Column | str] = (), mode: str = "errorifexists") -> None:
-    """CSV with a header. With an order the files hold consecutive ranges of it."""
+#: The byte-order mark that spreadsheet programs tell UTF-8 by.
+MARK = "\ufeff"
+
+
+def write_csv(frame: DataFrame, path: str, order: Sequence[Column | str] = (), mode: str = "errorifexists", mark: bool = False) -> None:
+    """CSV with a header. With an order the files hold consecutive ranges of it, with ``mark`` each starts with a byte-order mark."""
+    if mark:
+        frame = frame.withColumnRenamed(frame.columns[0], MARK + frame.columns[0])
+        order = [MARK + c if MARK + str(c) == frame.columns[0] else c for c in order]
     (frame.sort(*order) if order else frame).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
@@ -111,21 +162,45 @@ def write_json_lines(frame: DataFrame, path: str, order: Sequence[Column | str]
     (writer.partitionBy(partition) if partition else writer).json(path)
 
 
-def write_snapshot(tables: dict[str, DataFrame], folder: str) -> str:
-    """All tables under a version folder, then the pointer to it: a reader sees whole snapshots only. Returns the version."""
+def views(tables: dict[str, DataFrame]) -> None:
+    """Session views of the tables, for SQL."""
+    for name, frame in tables.items():
+        frame.createOrReplaceTempView(name)
+
+
+def _refuse_inputs(tables: dict[str, DataFrame], folder: str) -> None:
+    """An output folder must not hold, or lie in, what the tables are read from."""
+    target = folder.removeprefix("file://").removeprefix("file:").rstrip("/") + "/"
+    for name, frame in tables.items():
+        for file in frame.inputFiles():
+            source = file.removeprefix("file://").removeprefix("file:")
+            if source.startswith(target) and "/_versions/" not in source:
+                raise ValueError(f"{folder} holds the input of {name}")
+
+
+def write_snapshot(tables: dict[str, DataFrame], folder: str, compression: str = "snappy", kind: str = "parquet", apart: bool = True) -> str:
+    """All tables under a version folder, then the pointer to it: a reader sees whole snapshots only. Returns the version.
+
+    ``kind`` is parquet or json, ``compression`` a codec of that format (gzip for both). With ``apart`` a folder that
+    the tables themselves are read from is refused; without it, a new version may be made from an older one.
+    """
+    if apart:
+        _refuse_inputs(tables, folder)
     version = uuid.uuid4().hex
     for name, frame in tables.items():
-        frame.write.mode("errorifexists").parquet(f"{folder}/{version}/{name}")
+        frame.write.mode("errorifexists").option("compression", compression).option("ignoreNullFields", False).format(kind).save(f"{folder}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    pointer = spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>")
+    schemas = {name: frame.schema.json() for name, frame in tables.items()}
+    pointer = spark.createDataFrame([(version, kind, schemas)], "version string, kind string, schemas map<string,string>")
     pointer.coalesce(1).withColumn("written_at", F.current_timestamp()).write.mode("append").json(f"{folder}/_versions")
     return version
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of the newest snapshot."""
-    newest = spark.read.schema("version string, tables array<string>, written_at timestamp").json(f"{folder}/_versions").orderBy(F.desc("written_at")).first()
-    return {name: spark.read.parquet(f"{folder}/{newest.version}/{name}") for name in newest.tables}
+    newest = spark.read.schema("version string, kind string, schemas map<string,string>, written_at timestamp").json(f"{folder}/_versions").orderBy(F.desc("written_at")).first()
+    read = spark.read.format(newest.kind)
+    return {name: read.schema(T.StructType.fromJson(json.loads(schema))).load(f"{folder}/{newest.version}/{name}") for name, schema in sorted(newest.schemas.items())}
 
 
 def schema_document(frames: dict[str, DataFrame]) -> str:
@@ -133,6 +208,20 @@ def schema_document(frames: dict[str, DataFrame]) -> str:
     return "{" + ",".join(f'"{name}":{frame.schema.json()}' for name, frame in sorted(frames.items())) + "}"
 
 
+def summary_document(frames: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows, columns, schema, content) of every table: content is a sum of row hashes, the same for the same rows in any order."""
+    parts = [
+        frame.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*frame.columns).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("content")).select(
+            F.lit(name).alias("name"), "rows", F.lit(len(frame.columns)).alias("columns"), F.lit(frame.schema.json()).alias("schema"), "content"
+        )
+        for name, frame in sorted(frames.items())
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def git_blob_hash(content: bytes) -> str:
     """The object id that git gives to a file of this content."""
     return hashlib.sha1(b"blob %d\0" % len(content) + content).hexdigest()

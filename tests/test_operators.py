@@ -192,3 +192,46 @@ def test_a_record_with_several_names_of_one_work(spark):
     works = spark.createDataFrame([("w1", "a", "x", "p"), ("w1", "b", "x", "p"), ("w2", "c", "", "p"), ("w2", "c", "", "q"), ("w3", "c", "", "p")], "work string, title string, author string, platform string")
     found = {r.record: (r.how, r.work) for r in match.title_links(records, works, spark.createDataFrame([("2", "w1")], "alias string, work string")).collect()}
     assert found == {"r": ("exact_title_author", "w1"), "s": ("dual_title_crosswalk", "w1"), "t": ("unique_title_only_candidate", "w2"), "u": ("ambiguous_title", None), "v": ("not_matched", None)}
+
+
+def test_sqlite_in_ranges_views_and_copies(spark, tmp_path):
+    for name in ("a.sqlite", "copy.sqlite"):
+        with sqlite3.connect(tmp_path / name) as c:
+            c.execute("create table t (x integer, y text)")
+            c.executemany("insert into t values (?, ?)", [(i, None if i % 3 == 0 else f"v{i}") for i in range(25)])
+            c.execute("create view v as select x from t where x > 20")
+            c.execute('create table "o""dd" (k text primary key) without rowid')
+    (tmp_path / "copy.sqlite").write_bytes((tmp_path / "a.sqlite").read_bytes())
+    path = str(tmp_path / "a.sqlite")
+    rows = files.read_sqlite(spark, path, "t", slice_rows=4)
+    assert {(int(r.x), r.y) for r in rows.collect()} == {(i, None if i % 3 == 0 else f"v{i}") for i in range(25)} and rows.count() == 25
+    found = files.read_sqlite_folder(spark, str(tmp_path))
+    assert set(found) == {"t", "v", 'o"dd'} and found["t"].count() == 25 and found["v"].count() == 4 and found['o"dd'].count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    frame = spark.createDataFrame([("2", "乙"), ("1", "甲")], "id string, name string")
+    files.write_csv(frame, str(tmp_path / "csv"), ["id"], mark=True)
+    heads = [p.read_bytes()[:3] for p in (tmp_path / "csv").glob("*.csv") if p.stat().st_size]
+    assert heads and all(h == b"\xef\xbb\xbf" for h in heads)
+    folder = str(tmp_path / "snap")
+    files.write_snapshot({"t": frame}, folder, "gzip", "json")
+    assert list((tmp_path / "snap").glob("*/t/*.json.gz"))
+    back = files.read_snapshot(spark, folder)
+    assert back["t"].schema == frame.schema and sorted(r.id for r in back["t"].collect()) == ["1", "2"]
+    with pytest.raises(ValueError, match="holds the input"):
+        files.write_snapshot(back, folder)
+    files.write_snapshot({"t": back["t"].where("id = '1'")}, folder, apart=False)
+    files.views(files.read_snapshot(spark, folder))
+    assert spark.sql("select count(*) from t").first()[0] == 1
+    first, again = files.summary_document({"t": frame}).first(), files.summary_document({"t": frame.sort("id").repartition(3)}).first()
+    assert first == again and (first.name, first.rows, first.columns) == ("t", 2, 2)
+    assert files.summary_document({"t": frame.limit(1)}).first().content != first.content
+
+
+def test_strict_object_and_malformed_lines(spark, tmp_path):
+    rows = spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "a": 2}',), ("{",), (None,), ("[1]",)], "j string").select(scalars.strict_object(F.col("j"), "a int").alias("o")).collect()
+    assert [r.o.a if r.o else None for r in rows] == [1, None, None, None, None]
+    (tmp_path / "bad.jsonl").write_text('{"a": "1"}\n{broken\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_json_lines(spark, str(tmp_path / "bad.jsonl"), T.StructType([T.StructField("a", T.StringType())]), "fail").collect()
