@@ -230,10 +230,11 @@ def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for text, own, own_shapes, found, total in zip(batch["text"], batch["values"], batch["shapes"], batch["found"], batch["total"], strict=True):
+        for text, own, own_shapes, names, found, total in zip(batch["text"], batch["values"], batch["shapes"], batch["lookups"], batch["found"], batch["total"], strict=True):
             counts, shapes = {}, {}
-            for entry in found:
-                (counts if entry["kind"] == "v" else shapes)[entry["name"]] = float(entry["n"] or 0)
+            for code in found.tolist():
+                asked = names[code >> COUNT_BITS]
+                (counts if asked["kind"] == "v" else shapes)[asked["name"]] = float(code & ((1 << COUNT_BITS) - 1))
             for value in own:  # leave the field's own vote out
                 counts[value] = counts.get(value, 0.0) - 1
             for pattern in own_shapes:
@@ -251,17 +252,19 @@ def _tally(frame: DataFrame) -> DataFrame:
 
 #: A name that more than one in OFTEN of all candidates look up is hot; there are at most OFTEN such names.
 OFTEN = 2000
+#: A count travels with the place of its name among the field's lookups in one number, of which it takes so many bits.
+COUNT_BITS = 40
 
 
 def _found(wanted: DataFrame, counts: DataFrame, hot: DataFrame) -> DataFrame:
-    """``wanted`` (row, field, kind, name) with the counts of their names, gathered by row and field.
+    """``wanted`` (row, field, pos, kind, name) with the counts of their names as (pos, count) in one number, gathered by row and field.
 
     A name that very many rows ask for is no key of the shuffle join: at most ``OFTEN`` such names are sent out.
     """
     name = ["field", "kind", "name"]
     few = F.broadcast(counts.join(F.broadcast(hot), name, "left_semi"))
     rest = wanted.join(F.broadcast(hot), name, "left_anti").join(counts, name)
-    return wanted.join(few, name).unionByName(rest).groupBy("row", "field").agg(F.collect_list(F.struct("kind", "name", "n")).alias("found"))
+    return wanted.join(few, name).unionByName(rest).groupBy("row", "field").agg(F.collect_list(F.shiftleft(F.col("pos").cast("bigint"), COUNT_BITS) + F.col("n")).alias("found"))
 
 
 def split(fields: DataFrame, rounds: int = 6, changed: float = 0.002) -> DataFrame:
@@ -283,7 +286,7 @@ def split(fields: DataFrame, rounds: int = 6, changed: float = 0.002) -> DataFra
     read = base.where("trim(text) != ''").distinct().mapInPandas(_first, schema).checkpoint()
     sure, current = read.where("lookups is null"), read.where("lookups is not null")
     certain = _tally(sure).checkpoint()
-    wanted = current.select("row", "field", F.explode("lookups").alias("x")).select("row", "field", "x.kind", "x.name")
+    wanted = current.select("row", "field", F.posexplode("lookups").alias("pos", "x")).select("row", "field", "pos", "x.kind", "x.name")
     asked = wanted.groupBy("field", "kind", "name").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     total = asked.agg(F.sum("n")).first()[0] or 0
     hot = asked.where(F.col("n") > total / OFTEN).select("field", "kind", "name")
@@ -291,7 +294,7 @@ def split(fields: DataFrame, rounds: int = 6, changed: float = 0.002) -> DataFra
         counts = certain.unionByName(_tally(current)).groupBy("field", "kind", "name").agg(F.sum("n").alias("n"))
         totals = counts.where("kind = 'v'").groupBy("field").agg(F.sum("n").alias("total"))
         found = _found(wanted, counts, hot)
-        ready = current.join(found, ["row", "field"], "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType))).join(totals, "field", "left")
+        ready = current.join(found, ["row", "field"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<bigint>"))).join(totals, "field", "left")
         current = ready.mapInPandas(_viterbi, solved).checkpoint()
         n, moved = current.agg(F.count(F.lit(1)), F.sum(F.col("moved").cast("long"))).first()
         if step and (moved or 0) <= changed * n:
