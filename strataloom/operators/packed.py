@@ -199,9 +199,9 @@ def best(text: str, counts: dict[str, float], shapes: dict[str, float], total: f
     return chosen_values
 
 
-def _lookups(values: list[str]) -> list[tuple[str, str]]:
-    """What a set of candidate values has to look up: the values and their shapes."""
-    return [("v", v) for v in values] + [("s", x) for x in sorted({shape(v) for v in values})]
+def _lookups(values: list[str]) -> list[str]:
+    """The names that a set of candidate values has to look up: v and a value, s and a shape."""
+    return ["v" + v for v in values] + ["s" + x for x in sorted({shape(v) for v in values})]
 
 
 def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +234,7 @@ def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts, shapes = {}, {}
             for code in found.tolist():
                 asked = names[code >> COUNT_BITS]
-                (counts if asked["kind"] == "v" else shapes)[asked["name"]] = float(code & ((1 << COUNT_BITS) - 1))
+                (counts if asked[0] == "v" else shapes)[asked[1:]] = float(code & ((1 << COUNT_BITS) - 1))
             for value in own:  # leave the field's own vote out
                 counts[value] = counts.get(value, 0.0) - 1
             for pattern in own_shapes:
@@ -245,9 +245,9 @@ def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _tally(frame: DataFrame) -> DataFrame:
-    """Occurrences of every value and every shape: field, kind, name, n."""
-    named = F.concat(F.transform("values", lambda v: F.struct(F.lit("v").alias("kind"), v.alias("name"))), F.transform("shapes", lambda v: F.struct(F.lit("s").alias("kind"), v.alias("name"))))
-    return frame.select("field", F.explode(named).alias("x")).groupBy("field", "x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
+    """Occurrences of every value and every shape: field, name (as in ``_lookups``), n."""
+    named = F.concat(F.transform("values", lambda v: F.concat(F.lit("v"), v)), F.transform("shapes", lambda v: F.concat(F.lit("s"), v)))
+    return frame.select("field", F.explode(named).alias("name")).groupBy("field", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: A name that more than one in OFTEN of all candidates look up is hot; there are at most OFTEN such names.
@@ -257,11 +257,11 @@ COUNT_BITS = 40
 
 
 def _found(wanted: DataFrame, counts: DataFrame, hot: DataFrame) -> DataFrame:
-    """``wanted`` (row, field, pos, kind, name) with the counts of their names as (pos, count) in one number, gathered by row and field.
+    """``wanted`` (row, field, pos, name) with the counts of their names as (pos, count) in one number, gathered by row and field.
 
     A name that very many rows ask for is no key of the shuffle join: at most ``OFTEN`` such names are sent out.
     """
-    name = ["field", "kind", "name"]
+    name = ["field", "name"]
     few = F.broadcast(counts.join(F.broadcast(hot), name, "left_semi"))
     rest = wanted.join(F.broadcast(hot), name, "left_anti").join(counts, name)
     return wanted.join(few, name).unionByName(rest).groupBy("row", "field").agg(F.collect_list(F.shiftleft(F.col("pos").cast("bigint"), COUNT_BITS) + F.col("n")).alias("found"))
@@ -279,20 +279,19 @@ def split(fields: DataFrame, rounds: int = 6, changed: float = 0.002) -> DataFra
     """
     checkpoint_dir(fields.sparkSession)
     texts = T.ArrayType(T.StringType())
-    names = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType())]))
     base = fields.select("row", "field", "text")
-    schema = T.StructType([*base.schema, T.StructField("values", texts), T.StructField("shapes", texts), T.StructField("lookups", names)])
-    solved = T.StructType([*base.schema, T.StructField("lookups", names), T.StructField("values", texts), T.StructField("shapes", texts), T.StructField("moved", T.BooleanType())])
+    schema = T.StructType([*base.schema, T.StructField("values", texts), T.StructField("shapes", texts), T.StructField("lookups", texts)])
+    solved = T.StructType([*base.schema, T.StructField("lookups", texts), T.StructField("values", texts), T.StructField("shapes", texts), T.StructField("moved", T.BooleanType())])
     read = base.where("trim(text) != ''").distinct().mapInPandas(_first, schema).checkpoint()
     sure, current = read.where("lookups is null"), read.where("lookups is not null")
     certain = _tally(sure).checkpoint()
-    wanted = current.select("row", "field", F.posexplode("lookups").alias("pos", "x")).select("row", "field", "pos", "x.kind", "x.name")
-    asked = wanted.groupBy("field", "kind", "name").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    wanted = current.select("row", "field", F.posexplode("lookups").alias("pos", "name"))
+    asked = wanted.groupBy("field", "name").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     total = asked.agg(F.sum("n")).first()[0] or 0
-    hot = asked.where(F.col("n") > total / OFTEN).select("field", "kind", "name")
+    hot = asked.where(F.col("n") > total / OFTEN).select("field", "name")
     for step in range(rounds):
-        counts = certain.unionByName(_tally(current)).groupBy("field", "kind", "name").agg(F.sum("n").alias("n"))
-        totals = counts.where("kind = 'v'").groupBy("field").agg(F.sum("n").alias("total"))
+        counts = certain.unionByName(_tally(current)).groupBy("field", "name").agg(F.sum("n").alias("n"))
+        totals = counts.where("name like 'v%'").groupBy("field").agg(F.sum("n").alias("total"))
         found = _found(wanted, counts, hot)
         ready = current.join(found, ["row", "field"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<bigint>"))).join(totals, "field", "left")
         current = ready.mapInPandas(_viterbi, solved).checkpoint()
