@@ -43,13 +43,13 @@ def evenly(frame: DataFrame, order: Sequence[str | Column], most: int) -> DataFr
 
 
 def hash_sample(frame: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """k rows drawn without replacement by the hash of their key, with the nominal probability that a row is drawn.
+    """k rows drawn without replacement by the MD5 of seed and key, with the nominal probability that a row is drawn.
 
     The first row is always taken and the others compete, so the probability is (k - 1) / (n - 1).
     """
     n = frame.count()
     probability = 1.0 if n <= k else (k - 1) / max(1, n - 1)
-    return frame.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k).withColumn("probability", F.lit(min(1.0, probability)))
+    return frame.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(k).withColumn("probability", F.lit(min(1.0, probability)))
 
 
 def top_per_group(frame: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

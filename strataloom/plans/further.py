@@ -159,7 +159,7 @@ def o2(spark: SparkSession, folder: str) -> DataFrame:
     return order.numbered(rows, [F.asc_nulls_last("source_reported_year"), F.col("legacy_id")], "place").select("legacy_id", "place")
 
 
-@query("o06_seeded_sample")
+@query("o06_seeded_sample", "SELECT doc_id, CASE WHEN n <= 50 THEN 1.0::DOUBLE ELSE 49::DOUBLE / (n - 1) END AS probability FROM (SELECT doc_id, count(*) OVER () AS n FROM documents) ORDER BY md5('20250101:' || doc_id::VARCHAR), doc_id LIMIT 50")
 def o6(spark: SparkSession, folder: str) -> DataFrame:
     """A drawn sample with the nominal probability of each draw."""
     return order.hash_sample(table(spark, folder, "documents", "doc_id"), "doc_id", 50, 20250101)
