@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,3 +269,76 @@ def m11(spark: SparkSession, folder: str) -> DataFrame:
     per = table(spark, folder, "works", "platform").groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
     nodes = per.withColumn("node", F.explode(F.array(*map(F.lit, range(3)))))
     return nodes.groupBy("node").agg(F.sum("n").alias("seen"), F.sum(F.when(F.length("platform") % 3 == F.col("node"), F.col("n")).otherwise(0)).alias("owned"))
+
+
+# Functions that other queries only have inside.
+@query("pj07_digit_first", "SELECT observation_id, coalesce(regexp_matches(date_raw, '^[0-9]'), false) AS dated FROM source_observation")
+def p7(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "source_observation", "observation_id", "date_raw").select("observation_id", scalars.starts_with_digit(F.col("date_raw")).alias("dated"))
+
+
+@query("pj16_state_agrees", "SELECT work_key, platform_work_id IS NOT NULL AND author IS NOT NULL AS agrees FROM work_master")
+def p16(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the state that a page holds as JSON agrees with its visible list; works without author show another id."""
+    rows = _works(spark, folder)
+    state = F.to_json(F.array(F.struct(F.col("platform_work_id").alias("id"))))
+    shown = F.when(F.col("author").isNull(), "x").otherwise(F.coalesce("platform_work_id", F.lit("")))
+    html = F.concat(F.lit('<script id="state">'), state, F.lit('</script><ul><li data-id="'), shown, F.lit('">'), _html("title"), F.lit("</li></ul>"))
+
+    def parser(page: str) -> list[dict]:
+        visible = [{"id": n.attributes.get("data-id")} for n in pages.tree(page).all("li")]
+        return [{"agrees": pages.agrees(pages.embedded_state(page, "state"), visible, ["id"])}]
+
+    return pages.parse(rows.select("work_key", html.alias("html")), "html", parser, "agrees boolean", ("work_key",))
+
+
+@query("pj20_volumes", "SELECT work_key, CASE WHEN place = 2 THEN NULL ELSE '卷一' END AS volume, place, 'c' || place AS chapter FROM work_master, (VALUES (0), (1), (2)) AS n(place)")
+def p20(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters of a tree of volumes with the nearest volume's name, in order; a chapter beside the volumes has none."""
+    raw = F.lit('[{"vN": "卷一", "cs": [{"name": "c0"}, {"part": [{"name": "c1"}]}]}, {"name": "c2"}]')
+
+    def parser(page: str) -> list[dict]:
+        return [{"volume": v, "place": i, "chapter": c["name"]} for i, (v, c) in enumerate(pages.flatten(json.loads(page)))]
+
+    return pages.parse(table(spark, folder, "work_master", "work_key").withColumn("html", raw), "html", parser, "volume string, place int, chapter string", ("work_key",))
+
+
+@query("pj22_challenge", "SELECT work_key, author IS NULL AS challenged FROM work_master")
+def p22(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that ask for a code instead of showing the work; a word in a script is none."""
+    rows = _works(spark, folder)
+    html = F.concat(F.lit("<script>var captcha = 0</script><h1>"), _html("work_key"), F.lit("</h1>"), F.when(F.col("author").isNull(), "<p>请输入验证码</p>").otherwise(""))
+    return pages.parse(rows.select("work_key", html.alias("html")), "html", lambda page: [{"challenged": pages.is_challenge(page)}], "challenged boolean", ("work_key",))
+
+
+@query("d02_current_roles", """SELECT role, count(*) AS n, role NOT IN ('chapter_publication', 'chapter_update') AS is_current FROM (SELECT 'chapter_publication' AS role FROM chapters WHERE publication_date IS NOT NULL UNION ALL SELECT 'chapter_update' FROM chapters WHERE update_date IS NOT NULL
+UNION ALL SELECT 'catalog_publication' FROM work_dates WHERE catalog_pub_date IS NOT NULL) GROUP BY 1""")
+def d2(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates by role, and whether a role may become a work's current value: dates of single chapters never do."""
+    of_chapters = table(spark, folder, "chapters", "publication_date", "update_date").select(F.explode(dates.stack_roles({"chapter_publication": "publication_date", "chapter_update": "update_date"})).alias("e"))
+    of_works = table(spark, folder, "work_dates", "catalog_pub_date").select(F.explode(dates.stack_roles({"catalog_pub_date": "catalog_pub_date"})).alias("e"))
+    counted = of_chapters.unionByName(of_works).groupBy(dates.role_of(F.col("e.role")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("is_current", dates.is_current_role(F.col("role")))
+
+
+@query("d15_single_date", "SELECT work_key, CASE WHEN catalog_pub_date IS NULL THEN first_chapter_publication_date WHEN first_chapter_publication_date IS NULL OR first_chapter_publication_date = catalog_pub_date THEN catalog_pub_date END AS date FROM work_dates")
+def d15(spark: SparkSession, folder: str) -> DataFrame:
+    """The one date that a work's page and its first chapter agree on, or that only one of them has."""
+    rows = table(spark, folder, "work_dates", "work_key", "catalog_pub_date", "first_chapter_publication_date")
+    return rows.select("work_key", dates.single_date(F.array("catalog_pub_date", "first_chapter_publication_date")).alias("date"))
+
+
+@query("f23_retry_after", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN floor(value)::BIGINT WHEN 1 THEN greatest(0, epoch(TIMESTAMP '2024-01-05 01:00:00')::BIGINT - floor(epoch(ts))::BIGINT) END AS seconds FROM events WHERE value >= 0")
+def f23(spark: SparkSession, folder: str) -> DataFrame:
+    """Seconds to wait from a server's header: seconds, a date, or neither."""
+    kind = F.col("event_id") % 3
+    header = F.when(kind == 0, F.floor("value").cast("string")).when(kind == 1, "Fri, 05 Jan 2024 01:00:00 GMT").otherwise("soon")
+    rows = table(spark, folder, "events", "event_id", "ts", "value").where("value >= 0")
+    return rows.select("event_id", scalars.retry_after_seconds(header, F.col("ts").cast("timestamp")).alias("seconds"))
+
+
+@query("q05_same_bag", "SELECT 'left' AS side, (SELECT count(*) FROM works) - (SELECT count(*) FROM (SELECT DISTINCT * FROM works)) AS rows UNION ALL SELECT 'right', 0")
+def q5(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that the works have more often than their distinct rows, and the other way round."""
+    works = table(spark, folder, "works")
+    return audit.same_bag(works, works.distinct())
