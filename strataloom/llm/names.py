@@ -124,16 +124,16 @@ def pieces(field_text: str | None) -> list[str]:
 
 
 def base_script(spark: SparkSession) -> Script:
-    """Tables from ICU's rules, for the unified ideographs; empty tables if ICU isn't there."""
+    """Tables from ICU's rules, for the unified ideographs; an error if ICU isn't there, as without them names only seem to differ."""
     every = "".join(map(chr, range(FIRST, LAST + 1)))
     try:
         maker = spark._jvm.com.ibm.icu.text.Transliterator
         simple = maker.getInstance("Traditional-Simplified").transliterate(every)
         read = maker.getInstance("Han-Latin; Latin-ASCII; Lower").transliterate("|".join(every)).split("|")
-    except Exception:
-        return Script({}, {})
+    except Exception as error:
+        raise RuntimeError("ICU's transliteration rules (com.ibm.icu, which ships with Spark) can't be used") from error
     if len(simple) != len(every) or len(read) != len(every):
-        return Script({}, {})
+        raise RuntimeError(f"ICU gave {len(simple)} simplified forms and {len(read)} readings of {len(every)} ideographs")
     return Script({a: b for a, b in zip(every, simple, strict=True) if a != b}, {c: r.strip() for c, r in zip(every, read, strict=True) if r.strip().isascii() and r.strip().isalpha()})
 
 

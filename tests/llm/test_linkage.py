@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -30,6 +31,14 @@ def test_learned_names(script):
     assert N.pieces('["a", "b, c"]') == ["a", "b", "c", "a, b", "b, c"] and N.pieces(None) == []
 
 
+@pytest.mark.parametrize("transliterate", [None, lambda text: text[:-1], lambda text: "" if "|" in text else text])
+def test_missing_or_broken_rules_are_an_error(transliterate):
+    maker = SimpleNamespace(getInstance=lambda rules: SimpleNamespace(transliterate=transliterate))
+    icu = SimpleNamespace(text=SimpleNamespace(Transliterator=maker) if transliterate else SimpleNamespace())
+    with pytest.raises(RuntimeError, match="ICU"):
+        N.base_script(SimpleNamespace(_jvm=SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=icu)))))
+
+
 RECORDS = [
     ("exact", ["镜湖之灯塔"], ["甲乙丙丁"], "p", [2020]), ("pinyin", ["Jinghu Zhi Dengta"], ["Jia Yibingding"], None, [None]), ("english", ["The Lighthouse of the Mirror Lake"], ["甲乙丙丁"], None, []),
     ("typo", ["镜湖之灯灯塔"], ["甲乙丙丁"], "p", [2021]), ("missing", ["镜之灯塔"], ["甲乙丙丁"], None, []), ("other_author", ["镜湖之灯塔"], ["戊己庚辛"], "p", [2020]), ("side", ["镜湖之灯塔·外传"], ["甲乙丙丁"], "p", [2020]),
