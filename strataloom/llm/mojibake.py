@@ -20,7 +20,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -63,6 +65,15 @@ _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff-�]"
 _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 #: Bytes of characters of two bytes each: Latin words hardly have so many letters beyond ASCII in a row.
 _HIGH = re.compile("[\x80-\xff]{4,}")
+_ASCII = bytes(range(128))
+#: What bytes must look like to be valid: most readings fail here, which costs less than an exception.
+_SHAPES = {
+    "utf-8": re.compile(rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})*"),
+    "gb18030": re.compile(rb"(?:[\x00-\x7f]|[\x81-\xfe](?:[\x40-\x7e\x80-\xfe]|[0-9][\x81-\xfe][0-9]))*"),
+    "big5hkscs": re.compile(rb"(?:[\x00-\x7f]|[\x81-\xfe][\x40-\x7e\xa1-\xfe])*"),
+    "cp932": re.compile(rb"(?:[\x00-\x80\xa0-\xdf\xfd-\xff]|[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc])*"),
+    "cp1252": re.compile(rb"[^\x81\x8d\x8f\x90\x9d]*"),
+}
 _HAN = re.compile("[㐀-鿿豈-﫿]")
 #: Characters that wrong readings hardly produce: signs of East Asian text, full-width forms, enclosed figures and stars.
 _PLAIN = re.compile("[　-〟！-～①-⑳☆★“”‘’…—·]")
@@ -108,6 +119,30 @@ def _group(text: str) -> str:
         return "zh-hant"
 
 
+class _Prices(dict):
+    """Prices of characters, that of unseen ones included, and for each pair of encodings what every character gains."""
+
+    def __init__(self, costs: dict[str, float]) -> None:
+        super().__init__(costs)
+        self.gains = {(name, written): _Gains(self, name, written) for name in MULTI for written in WRITTEN[1:] if written != name}
+
+    def __missing__(self, c: str) -> float:
+        return UNSEEN
+
+
+class _Gains(dict):
+    """Price of a character less that of the one its bytes were written for; minus infinity where there is none."""
+
+    def __init__(self, prices: _Prices, name: str, written: str) -> None:
+        super().__init__((chr(b), 0.0) for b in range(128))
+        self.prices, self.name, self.written = prices, name, written
+
+    def __missing__(self, c: str) -> float:
+        fixed = _mapped(self.name, self.written, c)
+        self[c] = gain = -math.inf if fixed is None else self.prices[c] - self.prices[fixed]
+        return gain
+
+
 @dataclass
 class Model:
     """Dictionaries by language group, and the alphabet: characters that occur in texts no chain can undo."""
@@ -128,6 +163,7 @@ class Model:
                 data.precompute_compress(compression_params=params)
                 self._ready[name] = zstandard.ZstdCompressor(dict_data=data, compression_params=params)
             self._ready["plain"] = zstandard.ZstdCompressor(compression_params=params)
+            self._prices = _Prices(self.costs)
             self._clean = re.compile(f"[{re.escape(self.alphabet)}\x20-\x7e\n]*")
         return self._ready
 
@@ -136,12 +172,15 @@ class Model:
 
         A short text has few repeats that a dictionary could use; there the prices of its characters decide.
         """
+        return self._compressed(text) + self.least(text)
+
+    def _compressed(self, text: str) -> int:
         data = text.encode("utf-8", "surrogatepass")
-        return min(len(c.compress(data)) for c in self._tools().values()) + self.least(text)
+        return min([len(c.compress(data)) for c in self._tools().values()])
 
     def least(self, text: str) -> float:
         """A lower bound of ``length``: the characters' prices alone."""
-        return RARE * sum(self.costs.get(c, UNSEEN) for c in text)
+        return RARE * sum(map(self.costs.get, text, repeat(UNSEEN)))
 
     def clean(self, text: str) -> bool:
         self._tools()
@@ -166,13 +205,14 @@ class Model:
         for _ in range(DEPTH):
             following = []
             for current, paid in frontier:
-                for candidate, cuts in candidates(current, self.costs):
+                for candidate, cuts in candidates(current, self._prices):
                     if candidate in seen or _BAD.search(candidate) and not _BAD.search(current):
                         continue
                     price = paid + STEP + CUT * cuts
-                    if self.least(candidate) + price >= seen[current][0]:  # it can't be shorter, however well it compresses
+                    least = self.least(candidate)
+                    if least + price >= seen[current][0]:  # it can't be shorter, however well it compresses
                         continue
-                    seen[candidate] = (self.length(candidate) + price, candidate)
+                    seen[candidate] = (self._compressed(candidate) + least + price, candidate)
                     if seen[candidate] < seen[current]:
                         following.append((candidate, price))
             frontier = sorted(following, key=lambda f: seen[f[0]])[:width]
@@ -182,7 +222,24 @@ class Model:
         return min(seen.values())[1]
 
 
-def candidates(text: str, costs: dict[str, float]) -> Iterator[tuple[str, int]]:
+def _decoded(data: bytes, written: str) -> str | None:
+    """The text that the bytes were written for, None if they are not valid; that of short bytes is remembered."""
+    return _decode_short(data, written) if len(data) <= 16 else _decode(data, written)
+
+
+def _decode(data: bytes, written: str) -> str | None:
+    if not _SHAPES[written].fullmatch(data):
+        return None
+    try:
+        return data.decode(written)
+    except UnicodeDecodeError:
+        return None
+
+
+_decode_short = lru_cache(1 << 16)(_decode)
+
+
+def candidates(text: str, prices: _Prices) -> Iterator[tuple[str, int]]:
     """Texts that one wrong reading could have turned into this one, with the number of places where damage starts or ends inside."""
     tried: set[tuple] = set()
     for name, table in _TABLES.items():
@@ -194,22 +251,21 @@ def candidates(text: str, costs: dict[str, float]) -> Iterator[tuple[str, int]]:
         if sign in tried:  # another encoding has the same bytes for these spans
             continue
         tried.add(sign)
-        high = sum(ord(c) > 127 for a, b in spans for c in text[a:b])
+        read = [piece.encode("latin-1") for piece in sign[len(spans) :]]
+        high = sum([len(data.translate(None, _ASCII)) for data in read])
+        # The second byte of a character may be an ASCII letter, which then follows the span.
+        longer = [data + latin[b].encode("latin-1") if b < len(text) and text[b] in table else None for (_, b), data in zip(spans, read, strict=True)]
+        sequences = [_SEQUENCE.search(latin, a, b) for a, b in spans]
         for written in WRITTEN:
             if written == "cp1252" and name in ("latin_1", "cp1252") or written != "utf-8" and high < 2:
                 continue
             out, at, cuts = [], 0, 0
-            for a, b in spans:
-                # The second byte of a character may be an ASCII letter, which then follows the span.
-                fixed = None
-                for end in (b, b + 1) if written != "utf-8" and b < len(text) and text[b] in table else (b,):
-                    try:
-                        fixed = latin[a:end].encode("latin-1").decode(written)
-                        b = end
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                if fixed is None and written == "utf-8" and (found := _SEQUENCE.search(latin, a, b)):
+            for (a, b), data, more, found in zip(spans, read, longer, sequences, strict=True):
+                if written == "utf-8":
+                    fixed = _decoded(data, written) if found else None
+                elif (fixed := _decoded(data, written)) is None and more is not None and (fixed := _decoded(more, written)) is not None:
+                    b += 1
+                if fixed is None and written == "utf-8" and found:
                     # Damage in parts: single sequences between characters that are none.
                     piece, last = [], a
                     while found:
@@ -221,19 +277,23 @@ def candidates(text: str, costs: dict[str, float]) -> Iterator[tuple[str, int]]:
                         found = _SEQUENCE.search(latin, found.end(), b)
                     fixed = "".join(piece) + text[last:b]
                     cuts += 2
-                out.append(text[at:a] + (text[a:b] if fixed is None else fixed))
-                cuts += fixed is not None and ((a > 0 and ord(text[a - 1]) > 127) + (b < len(text) and ord(text[b]) > 127))
+                if fixed is None:
+                    continue
+                out.append(text[at:a] + fixed)
+                cuts += (a > 0 and ord(text[a - 1]) > 127) + (b < len(text) and ord(text[b]) > 127)
                 at = b
+            if not out:
+                continue
             fixed_text = "".join(out) + text[at:]
             if fixed_text != text:
                 yield fixed_text, cuts
     for name in MULTI:
         chunks = [_encoded(name, c) for c in text]
-        if sum(b is not None and len(b) > 1 for b in chunks) < 2:
+        if len([b for b in chunks if b is not None and len(b) > 1]) < 2:
             continue
         yield from _utf8_spans(text, chunks)
         for written in WRITTEN[1:]:
-            if written != name and (found := _aligned_span(text, name, written, costs)):
+            if written != name and (found := _aligned_span(text, prices.gains[name, written])):
                 yield found
 
 
@@ -292,26 +352,19 @@ def _utf8_spans(text: str, chunks: list[bytes | None]) -> Iterator[tuple[str, in
         yield "".join(out) + text[at:], cuts
 
 
-def _aligned_span(text: str, name: str, written: str, costs: dict[str, float]) -> tuple[str, int] | None:
+def _aligned_span(text: str, gains: _Gains) -> tuple[str, int] | None:
     """The text with the one span decoded, character by character, that gains most by the characters' prices."""
-    best, total, start, mapped = (0.0, 0, 0), 0.0, 0, []
-    for i, c in enumerate(text):
-        fixed = c if c < "\x80" else _mapped(name, written, c)
-        if fixed is None:
-            mapped.append(c)
-            total, start = 0.0, i + 1
-            continue
-        mapped.append(fixed)
-        if fixed != c:
-            total += costs.get(c, UNSEEN) - costs.get(fixed, UNSEEN)
+    best, a, b, total, start = 0.0, 0, 0, 0.0, 0
+    for i, gain in enumerate(map(gains.__getitem__, text)):
+        total += gain
         if total <= 0:
             total, start = 0.0, i + 1
-        elif total > best[0]:
-            best = (total, start, i + 1)
-    gain, a, b = best
-    if gain < GAIN or b - a < 2:
+        elif total > best:
+            best, a, b = total, start, i + 1
+    if best < GAIN or b - a < 2:
         return None
-    return text[:a] + "".join(mapped[a:b]) + text[b:], (a > 0) + (b < len(text))
+    fixed = "".join([c if c < "\x80" else _mapped(gains.name, gains.written, c) for c in text[a:b]])
+    return text[:a] + fixed + text[b:], (a > 0) + (b < len(text))
 
 
 def _lost(text: str) -> bool:

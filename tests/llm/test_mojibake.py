@@ -53,6 +53,14 @@ def test_clean_texts_stay(model, text):
     assert model.restore(text) is None
 
 
+@pytest.mark.parametrize("written", M.WRITTEN)
+def test_shapes_refuse_no_valid_bytes(written):
+    pieces = [bytes([a, *rest]) for a in range(256) for rest in [(), *((b,) for b in range(256)), (0x81, 0xBF), (0x30, 0x81, 0x30), (0xBF, 0x80, 0x80)]]
+    valid = [p for p in pieces if p.decode(written, "ignore").encode(written, "ignore") == p]
+    assert len(valid) > 128 and all(M._decode(p, written) == M._decoded(p, written) == p.decode(written) for p in valid)
+    assert M._decode(b"\xe4\xb8\x81\x81"[: 3 + (written != "utf-8")] + b"\x81", written) is None
+
+
 def test_json_members():
     assert M.json_texts('{"a": {"b": ["x", {"c": "y"}]}, "d": 1}') == [("b", "x"), ("c", "y")]
     assert M.json_texts('{"a": "x", "b": ["y", "z"], "c": "cut of') == [("a", "x"), ("b", "y"), ("b", "z")]
