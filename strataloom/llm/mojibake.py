@@ -1,13 +1,13 @@
 """Text that was read in a wrong character encoding: find it and restore the original.
 
 Every chain of (encoding it was read in, encoding it was written in) that can be undone gives a candidate text. Each
-candidate is compressed with zstandard dictionaries, one for each language group, trained on texts of the same columns;
+candidate is compressed with zstandard dictionaries, one for each language group, trained on the same columns;
 its description length is the smallest compressed size plus a price for every step of the chain. The shortest wins, and
 text that no chain shortens stays unchanged. Damage may cover a part of a text: candidates are made for the spans that
 the wrong encoding could have produced.
 
-Prices of characters and the alphabet are counted over every different text; only the dictionaries are trained on a
-bounded sample of them (``sample`` texts of each group, chosen by hash). Every text is examined whole.
+Prices of characters, the alphabet and the patterns that the dictionaries are made of are counted over every different
+text. Every text is examined whole.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ BEAM = 3
 DICTIONARY, LEVEL = 1 << 16, 15
 #: Bytes for a nat of a character's price, nats of a character that no example has, nats a span must gain to be a candidate, nats of a variant above the common form.
 RARE, UNSEEN, GAIN, VARIANT = 0.4, 26.0, 6.0, 1.5
-#: Bytes of the dictionaries' examples of a group, about; ASCII texts among the examples of Latin ones.
-SAMPLE_BYTES, ASCII_SAMPLE = 1 << 24, 2000
+#: Bytes of a segment that may go into a dictionary; counters of patterns, and of one block of them.
+SEGMENT, SLOTS, BLOCK = 64, 1 << 20, 1 << 12
 LOST = "�"
 _UTF8 = codecs.getincrementaldecoder("utf-8")
 
@@ -444,8 +444,13 @@ def _kept(text: str, usual: set[str], variants: dict[str, str]) -> bool:
     return sum(variants.get(c, c) in usual for c in text) >= 0.8 * len(text)
 
 
-def _model(used: dict[str, Counter], kept: int, examples: dict[str, list[str]], variants: dict[str, str]) -> Model:
-    """Prices and alphabet from the characters of ``kept`` texts by group, dictionaries from example texts."""
+def _room(size: int) -> int:
+    """Bytes of the dictionary of texts of this size: what is in few of them stays out."""
+    return min(DICTIONARY, max(512, size // 8))
+
+
+def _model(used: dict[str, Counter], kept: int, examples: dict[str, list[bytes]], rooms: dict[str, int], variants: dict[str, str]) -> Model:
+    """Prices and alphabet from the characters of ``kept`` texts by group, dictionaries of ``rooms`` bytes from examples."""
     costs: dict[str, float] = {}
     counts = sum(used.values(), Counter())
     for tally in used.values():
@@ -455,12 +460,10 @@ def _model(used: dict[str, Counter], kept: int, examples: dict[str, list[str]],
     for rare, usual in variants.items():
         if usual in costs:
             costs[rare] = min(costs.get(rare, UNSEEN), costs[usual] + VARIANT)
-    groups = {name: [t.encode() for t in texts if name != "latin" or not t.isascii()] + [t.encode() for t in texts if name == "latin" and t.isascii()][:ASCII_SAMPLE] for name, texts in examples.items()}
     dictionaries = {}
-    for name, samples in groups.items():
-        size = min(DICTIONARY, max(512, sum(map(len, samples)) // 8))
+    for name, samples in examples.items():
         try:
-            dictionaries[name] = zstandard.train_dictionary(size, samples, k=64, d=6, level=LEVEL).as_bytes()
+            dictionaries[name] = zstandard.train_dictionary(rooms[name], samples, k=64, d=6, level=LEVEL).as_bytes()
         except zstandard.ZstdError:
             dictionaries[name] = b"".join(samples)[-DICTIONARY:]
     often = max(3, kept // 5000)
@@ -491,7 +494,8 @@ def fit(texts: list[str], variants: dict[str, str] | None = None) -> Model:
         for t in by[name]:
             used.setdefault(_priced(name, t), Counter()).update(t)
         used.setdefault(name, Counter())
-    return _model(used, sum(map(len, by.values())), by, variants)
+    examples = {name: [t.encode() for t in texts] for name, texts in by.items()}
+    return _model(used, sum(map(len, by.values())), examples, {name: _room(sum(map(len, texts))) for name, texts in examples.items()}, variants)
 
 
 #: Different texts that a task holds before it hands them on.
@@ -515,12 +519,110 @@ def texts_of(texts: DataFrame, column: str, json_column: bool) -> DataFrame:
     return texts.select(F.col(column).alias("text")).where("text is not null and text != ''").mapInPandas(work, "text string")
 
 
-def fit_all(texts: DataFrame, sample: int, variants: dict[str, str] | None = None) -> Model:
+def _windows(data: bytes, lengths: np.ndarray, pattern: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts that follow each other in ``data``: where a pattern of so many bytes starts, and its counter."""
+    codes = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = len(codes) - pattern + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value = np.zeros(n, np.uint64)
+    for i in range(pattern):
+        value = value * np.uint64(257) + codes[i : n + i]
+    slots = ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+    ends = np.repeat(np.cumsum(lengths), lengths)[:n]
+    at = np.flatnonzero(np.arange(n) + pattern <= ends)
+    return at, slots[at]
+
+
+def _cut(text: bytes) -> list[bytes]:
+    """The segments of a text; every pattern of up to half a segment is whole in one of them."""
+    return [text[i : i + SEGMENT] for i in range(0, max(1, len(text) - SEGMENT // 2), SEGMENT // 2)]
+
+
+def _tables(kept: DataFrame, pattern: int) -> dict[str, np.ndarray]:
+    """Of each group, ASCII apart, how often the patterns of every counter occur in the texts (kind, text), all of them counted."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for kind, texts in batch.groupby("kind")["text"]:
+                data = [t.encode() for t in texts]
+                _, slots = _windows(b"".join(data), np.array(list(map(len, data))), pattern)
+                tables.setdefault(kind, np.zeros(SLOTS, np.int64))
+                tables[kind] += np.bincount(slots, minlength=SLOTS)
+        pack = zstandard.ZstdCompressor(level=1)
+        for kind, table in tables.items():
+            blocks = table.reshape(-1, BLOCK)
+            used = np.flatnonzero(blocks.any(axis=1))
+            yield pd.DataFrame({"kind": kind, "block": used, "counts": [pack.compress(blocks[i].tobytes()) for i in used]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor()
+        total = sum(np.frombuffer(unpack.decompress(x), np.int64) for x in group["counts"])
+        return group[["kind", "block"]].iloc[:1].assign(counts=zstandard.ZstdCompressor(level=1).compress(total.tobytes()))
+
+    schema = "kind string, block long, counts binary"
+    out: dict[str, np.ndarray] = {}
+    for r in kept.mapInPandas(count, schema).groupBy("kind", "block").applyInPandas(add, schema).collect():
+        table = out.setdefault(r.kind, np.zeros(SLOTS, np.int64))
+        table[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), np.int64)
+    return out
+
+
+def _segments(kept: DataFrame, pattern: int) -> tuple[dict[str, list[bytes]], dict[str, int]]:
+    """Of each group, ASCII apart, the segments that hold most of what all texts repeat, and the room of its dictionary.
+
+    For as many patterns as have room, the most frequent of all texts, the segment is chosen that holds it and whose
+    frequent patterns occur most often a byte; it counts once for each pattern that it is chosen for. Only sums and
+    largest values matter, so the order of the texts and the number of tasks do not.
+    """
+    tables = _tables(kept, pattern)
+    rooms = {kind: _room(int(table.sum())) for kind, table in tables.items()}
+    if "ascii" in rooms:  # keys and numbers don't crowd out the other Latin texts
+        rooms["ascii"] = min(rooms["ascii"], rooms.get("latin", 0))
+    frequent: dict[str, np.ndarray] = {}
+    for kind, table in tables.items():
+        best = np.argsort(-table, kind="stable")[: rooms[kind] // pattern]
+        frequent[kind] = np.zeros(SLOTS, np.int64)
+        frequent[kind][best] = table[best]
+    shared = kept.sparkSession.sparkContext.broadcast({kind: (np.flatnonzero(table), table[table > 0]) for kind, table in frequent.items()})
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, best, floors = {}, {}, {}
+        for kind, (slots, n) in shared.value.items():
+            counts[kind], best[kind], floors[kind] = np.zeros(SLOTS, np.int64), {}, np.zeros(SLOTS)
+            counts[kind][slots] = n
+        for batch in batches:
+            for kind, texts in batch.groupby("kind")["text"]:
+                pieces = list(dict.fromkeys(p for t in texts for p in _cut(t.encode())))
+                lengths = np.array(list(map(len, pieces)))
+                at, slots = _windows(b"".join(pieces), lengths, pattern)
+                found = counts[kind][slots] > 0
+                owner = np.repeat(np.arange(len(pieces)), lengths)[at[found]]
+                owner, slots = np.divmod(np.unique(owner * SLOTS + slots[found]), SLOTS)
+                value = np.bincount(owner, counts[kind][slots], len(pieces)) / lengths
+                floor = floors[kind]
+                better = value[owner] >= floor[slots]
+                owner, slots = owner[better], slots[better]
+                np.maximum.at(floor, slots, value[owner])
+                top = value[owner] == floor[slots]
+                for slot, i in zip(slots[top].tolist(), owner[top].tolist(), strict=True):
+                    best[kind][slot] = max(best[kind].get(slot, (0.0, b"")), (float(value[i]), pieces[i]))
+        for kind, chosen in best.items():
+            yield pd.DataFrame([(kind, slot, v, piece) for slot, (v, piece) in chosen.items()], columns=["kind", "slot", "value", "piece"])
+
+    chosen = kept.mapInPandas(choose, "kind string, slot long, value double, piece binary").groupBy("kind", "slot").agg(F.max(F.struct("value", "piece")).alias("best"))
+    out: dict[str, list[bytes]] = {}
+    for r in chosen.groupBy("kind", "best.piece").agg(F.count(F.lit(1)).alias("n")).collect():
+        out.setdefault(r.kind, []).extend([bytes(r.piece)] * r.n)
+    return {kind: sorted(pieces) for kind, pieces in out.items()}, rooms
+
+
+def fit_all(texts: DataFrame, pattern: int, variants: dict[str, str] | None = None) -> Model:
     """As ``fit``, from every different text of (text), counted where they are.
 
-    Only the dictionaries come from a sample: of each group the texts with the smallest hashes, about ``sample`` of them and
-    at most about ``SAMPLE_BYTES`` (of Latin ones as many in ASCII and beyond). A text counts once however often it is repeated, so that a damaged text of many rows
-    doesn't become usual.
+    The dictionaries are trained on the segments that hold most of the patterns of ``pattern`` bytes that all texts
+    repeat. A text counts once however often it is repeated, so that a damaged text of many rows doesn't become usual.
     """
     variants = variants or {}
     spark = texts.sparkSession
@@ -532,19 +634,27 @@ def fit_all(texts: DataFrame, sample: int, variants: dict[str, str] | None = Non
 
     clean = texts.distinct().mapInPandas(grouped, "kind string, text string").persist()
 
-    def tallied(frame: DataFrame, once: bool, usual: dict[str, set[str]] | None = None, forms: dict[str, str] | None = None) -> tuple[dict[str, Counter], dict[str, int]]:
-        """Of each group the characters of its (kept) texts, once a text or as often as they occur, and the number of those texts."""
-        shared = spark.sparkContext.broadcast((usual, forms or {}))
+    def examples(kinds: str, usual: dict[str, set[str]], forms: dict[str, str]) -> DataFrame:
+        """The texts of these groups that are examples; kind is the group in whose prices they count."""
+        shared = spark.sparkContext.broadcast((usual, forms))
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known, common = shared.value
+            for batch in batches:
+                rows = [(_priced(kind, t), t) for kind, t in zip(batch["kind"], batch["text"], strict=True) if _kept(t, known[kind], common)]
+                yield pd.DataFrame(rows, columns=["kind", "text"], dtype=object)
+
+        return clean.where(kinds).mapInPandas(work, "kind string, text string").persist()
+
+    def tallied(frame: DataFrame, once: bool) -> tuple[dict[str, Counter], dict[str, int]]:
+        """Of each group the characters of its texts, once a text or as often as they occur, and the number of those texts."""
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts = {name: Counter() for name in (*GROUPS, "ascii")}
             for batch in batches:
                 for kind, text in zip(batch["kind"], batch["text"], strict=True):
-                    if known is None or _kept(text, known[kind], common):
-                        tally = counts[kind if once else _priced(kind, text)]
-                        tally.update(set(text) if once else text)
-                        tally[""] += 1
+                    counts[kind].update(set(text) if once else text)
+                    counts[kind][""] += 1
             yield pd.DataFrame([(kind, c, n) for kind, tally in counts.items() for c, n in tally.items()], columns=["kind", "c", "n"])
 
         out: dict[str, Counter] = {name: Counter() for name in (*GROUPS, "ascii")}
@@ -555,20 +665,19 @@ def fit_all(texts: DataFrame, sample: int, variants: dict[str, str] | None = Non
     seen, sizes = tallied(clean, once=True)
     floors = {name: _floor(n) for name, n in sizes.items()}
     usual = {name: {c for c, n in tally.items() if n >= floors[name]} for name, tally in seen.items()}
-    used, kept = tallied(clean.where("kind != 'zh-hant'"), once=False, usual=usual)
+    others = examples("kind != 'zh-hant'", usual, {})
+    used, kept = tallied(others, once=False)
     usual["zh-hant"] = {c for c, n in used["zh-hans"].items() if n >= floors["zh-hant"]}
-    hant, kept_hant = tallied(clean.where("kind = 'zh-hant'"), once=False, usual=usual, forms=variants)
+    traditional = examples("kind = 'zh-hant'", usual, variants)
+    hant, kept_hant = tallied(traditional, once=False)
     used["zh-hant"] = hant["zh-hant"]
-    examples: dict[str, list[str]] = {name: [] for name in GROUPS}
-    # Texts whose hash lies below a threshold that the counts give: what a task sends is its share of the sample.
-    ascii_only = ~F.col("text").rlike(r"[^\x00-\x7f]")
-    totals = clean.groupBy("kind", ascii_only.alias("ascii")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
-    for r in sorted(totals):
-        share = min(1.0, sample / r.n, SAMPLE_BYTES / max(1, r.bytes))
-        drawn = clean.where((F.col("kind") == r.kind) & (ascii_only == r.ascii) & (F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))).collect()
-        examples[r.kind] += sorted(x.text for x in drawn if _kept(x.text, usual[r.kind], variants if r.kind == "zh-hant" else {}))
-    clean.unpersist()
-    return _model(used, sum(kept.values()) + kept_hant["zh-hant"], examples, variants)
+    chosen, rooms = _segments(others.unionByName(traditional), pattern)
+    for frame in (clean, others, traditional):
+        frame.unpersist()
+    parts = {name: ("latin", "ascii") if name == "latin" else (name,) for name in GROUPS}
+    samples = {name: [piece for part in of for piece in chosen.get(part, [])] for name, of in parts.items()}
+    rooms = {name: min(DICTIONARY, max(512, sum(rooms.get(part, 0) for part in of))) for name, of in parts.items()}
+    return _model(used, sum(kept.values()) + kept_hant["zh-hant"], samples, rooms, variants)
 
 
 def restore(texts: DataFrame, model: Model, json_column: bool) -> DataFrame:

@@ -11,8 +11,8 @@ from strataloom.llm import linkage, mixing, mojibake, names, packing, problem_sq
 from strataloom.session import checkpoint_dir
 from strataloom.sources.tables import table
 
-#: Texts that the dictionaries of problem 4 are trained on, of each language group; prices and alphabet come from all texts.
-DICTIONARY_SAMPLE = 12000
+#: Bytes of the patterns that are counted for the dictionaries of problem 4, over all texts: two Chinese characters.
+PATTERN = 6
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.lit("source_observation").alias("table_name"), F.col("observation_id").alias("record_key")).alias("row"), F.lit("").alias("field"), F.col("raw_record_json").alias("text")
     )
     texts = mojibake.texts_of(titles, "text", json_column=False).unionByName(mojibake.texts_of(records, "text", json_column=True))
-    model = mojibake.fit_all(texts, DICTIONARY_SAMPLE, names.base_script(spark).simple)
+    model = mojibake.fit_all(texts, PATTERN, names.base_script(spark).simple)
     found = mojibake.restore(titles, model, json_column=False).unionByName(mojibake.restore(records, model, json_column=True))
     return found.select("row.table_name", "row.record_key", F.col("field").alias("field_name"), "restored_text").distinct()
 

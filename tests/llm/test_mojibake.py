@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from strataloom.llm import mojibake as M
@@ -88,6 +91,33 @@ def test_fit_over_all_texts_has_what_a_sample_lacks(spark):
     assert model.restore("我在灯塔守麒麟") is None and model.restore(garble("我在灯塔守麒麟", "utf-8", "latin_1")) == "我在灯塔守麒麟"
 
 
+def test_dictionaries_hold_what_all_texts_repeat(spark):
+    texts = [f"我在{a}守{b}" for a in WORDS for b in WORDS] + [f"他盯着{a}看了半晌，忽然想起{b}的事。" for a in WORDS for b in WORDS] + [f"The {a} of {b}" for a in range(30) for b in "abc"] + LATIN
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    models = [M.fit_all(M.texts_of(frame.repartition(n), "text", json_column=False), 6) for n in (1, 7)]
+    assert models[0].dictionaries == models[1].dictionaries  # neither tasks nor hashes choose
+    # 5 or 12,000 texts of a group, by hash, are no longer what a dictionary is made of: each word is in 78 texts.
+    assert all(word.encode() in models[0].dictionaries["zh-hans"] for word in [*WORDS, "我在", "他盯着", "看了半晌，忽然想起"])
+
+
+def test_patterns_and_segments_against_exhaustive_counts(spark):
+    texts = ["药铺外的枫林", "药铺外的灯塔", "药铺", "x" * 5, "é", "长" * 50 + "枫林", *(f"key{i:03}" for i in range(40)), "Forêt élémentaire"]
+    by = {t: "ascii" if t.isascii() else M._group(t) for t in texts}
+    kept = spark.createDataFrame([(by[t], t) for t in texts], "kind string, text string").repartition(3)
+
+    def slots(data):
+        return M._windows(data, np.array([len(data)]), 6)[1].tolist()
+
+    for kind, table in M._tables(kept, 6).items():
+        whole = Counter(s for t in texts if by[t] == kind for s in slots(t.encode()))
+        assert {int(s): int(table[s]) for s in np.flatnonzero(table)} == whole
+        pieces = [p for t in texts if by[t] == kind for p in M._cut(t.encode())]
+        assert all(t.encode()[i : i + 6] in b"|".join(pieces) for t in texts if by[t] == kind for i in range(len(t.encode()) - 5))
+        usual = sorted(whole, key=lambda slot: (-whole[slot], slot))[: M._room(sum(whole.values())) // 6]
+        best = [max((sum(whole[s] for s in set(slots(p)) & set(usual)) / len(p), p) for p in pieces if slot in slots(p))[1] for slot in usual]
+        assert M._segments(kept, 6)[0][kind] == sorted(best)
+
+
 def test_texts_of_json(spark):
     frame = spark.createDataFrame([('{"a": "x", "b": ["y", "\\ud800"]}',), ('{"a": "x", "b": "cut of',), (None,)], "text string")
     assert sorted({r.text for r in M.texts_of(frame, "text", json_column=True).collect()}) == ["x", "y"]
